@@ -1,3 +1,3 @@
 """Imports every check module."""
 
-from . import flow_checks, scalars, store  # noqa: F401
+from . import cluster_checks, flow_checks, scalars, store  # noqa: F401

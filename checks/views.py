@@ -168,17 +168,30 @@ FROM fx_refs r JOIN fx_symbols a ON a.symbol_id = r.source_symbol_id JOIN fx_sym
 WHERE r.edge_kind = 'calls' AND a.kind IN ('function', 'method') AND b.kind IN ('function', 'method')
 """
 
+VIEWS["fx_clean_roots"] = """
+SELECT s.repo_hash, s.symbol_id FROM fx_symbols s
+WHERE s.kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM fx_call_edges i WHERE i.dst = s.symbol_id)
+"""
+
+# A repository without a clean root starts from every function that calls something.
+VIEWS["fx_starts"] = """
+SELECT repo_hash, symbol_id FROM fx_clean_roots
+UNION ALL
+SELECT DISTINCT e.repo_hash, e.src FROM fx_call_edges e
+WHERE NOT EXISTS (SELECT 1 FROM fx_clean_roots c WHERE c.repo_hash = e.repo_hash)
+"""
+
 VIEWS["fx_paths"] = """
 SELECT e1.repo_hash, e1.src AS n1, e1.dst AS n2, CAST(NULL AS STRING) AS n3, CAST(NULL AS STRING) AS n4, 1 AS depth
-FROM fx_call_edges e1 WHERE NOT EXISTS (SELECT 1 FROM fx_call_edges i WHERE i.dst = e1.src) AND e1.dst <> e1.src
+FROM fx_starts s JOIN fx_call_edges e1 ON e1.src = s.symbol_id WHERE e1.dst <> e1.src
 UNION ALL
 SELECT e1.repo_hash, e1.src, e1.dst, e2.dst, CAST(NULL AS STRING), 2
-FROM fx_call_edges e1 JOIN fx_call_edges e2 ON e2.src = e1.dst
-WHERE NOT EXISTS (SELECT 1 FROM fx_call_edges i WHERE i.dst = e1.src) AND e1.dst <> e1.src AND e2.dst <> e1.dst AND e2.dst <> e1.src
+FROM fx_starts s JOIN fx_call_edges e1 ON e1.src = s.symbol_id JOIN fx_call_edges e2 ON e2.src = e1.dst
+WHERE e1.dst <> e1.src AND e2.dst <> e1.dst AND e2.dst <> e1.src
 UNION ALL
 SELECT e1.repo_hash, e1.src, e1.dst, e2.dst, e3.dst, 3
-FROM fx_call_edges e1 JOIN fx_call_edges e2 ON e2.src = e1.dst JOIN fx_call_edges e3 ON e3.src = e2.dst
-WHERE NOT EXISTS (SELECT 1 FROM fx_call_edges i WHERE i.dst = e1.src) AND e1.dst <> e1.src AND e2.dst <> e1.dst AND e2.dst <> e1.src
+FROM fx_starts s JOIN fx_call_edges e1 ON e1.src = s.symbol_id JOIN fx_call_edges e2 ON e2.src = e1.dst JOIN fx_call_edges e3 ON e3.src = e2.dst
+WHERE e1.dst <> e1.src AND e2.dst <> e1.dst AND e2.dst <> e1.src
   AND e3.dst <> e2.dst AND e3.dst <> e1.dst AND e3.dst <> e1.src
 """
 
@@ -225,6 +238,10 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# Derived views built so far in a session, kept in memory or on executor disk like stored index tables.
+_BUILT: dict = {}
+
+
 class Tables:
     """Given tables and derived views of one scale-factor directory, as DataFrames."""
 
@@ -234,24 +251,30 @@ class Tables:
     def base(self, name: str):
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def view(self, name: str):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _BUILT:
+            _BUILT[key] = self.sql(VIEWS[name]).persist()
+        return _BUILT[key]
+
     def sql(self, text: str):
-        full = with_views(text)
-        for name in BASE_TABLES:
-            if re.search(rf"\b{name}\b", full):
-                self.base(name).createOrReplaceTempView(name)
-        return self.spark.sql(full)
+        names = [n for n in VIEWS if re.search(rf"\b{n}\b", text)]
+        frames = {n: self.view(n) for n in names}
+        frames |= {n: self.base(n) for n in BASE_TABLES if re.search(rf"\b{n}\b", text)}
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        return self.spark.sql(text)
 
     def __getattr__(self, name: str):
-        view = f"fx_{name}"
-        if view not in VIEWS:
+        if f"fx_{name}" not in VIEWS:
             raise AttributeError(name)
-        return self.sql(f"SELECT * FROM {view}")
+        return self.view(f"fx_{name}")
 
     @property
     def flows(self):
         """Stored flows with the intermediates as an array."""
         return (
-            self.sql("SELECT * FROM fx_flows")
+            self.view("fx_flows")
             .withColumn("path", F.array_compact(F.array("mid1", "mid2")))
             .drop("mid1", "mid2")
         )
