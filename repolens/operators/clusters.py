@@ -98,30 +98,26 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     """Pairs `(repo_hash, a, b)` that can be within the cut; every other pair provably is not.
 
     Within the cut the weighted similarities reach 0.45. Structure gives at most 0.15, a shared word at
-    most 0.20, a shared import at most 0.25 and directories the rest, so a pair needs one of: a shared
-    word and import; a shared import and 1/8 of the deepest directory; a shared word and 1/4 of it; or
-    3/4 of it. Each case is one equi-join key, so no pair within the cut is lost.
+    most 0.20, a shared import at most 0.25 and directories the rest. So a pair shares a word; or an
+    import and 1/8 of the deepest directory; or 3/4 of the deepest directory. Each case is one
+    equi-join key, and the pairwise limit bounds the pairs of a repository.
     """
 
-    def directory_needed(words: float, imports: float):
-        share = max(0.0, 1 - CUT - WEIGHTS["structure"] - words - imports) / WEIGHTS["directory"]
-        return F.greatest(F.ceil(c("max_depth") * share - 1e-9).cast("int"), F.lit(1))
-
-    def prefixed(needed, tag: str, items):
+    def prefixed(other_gain: float, tag: str, items):
+        share = max(0.0, 1 - CUT - WEIGHTS["structure"] - other_gain) / WEIGHTS["directory"]
+        needed = F.greatest(F.ceil(c("max_depth") * share - 1e-9).cast("int"), F.lit(1))
         prefix = F.concat(F.lit(tag), F.array_join(F.slice("dirs", F.lit(1), needed), "/"), F.lit("|"))
         return F.when(F.size("dirs") >= needed, F.transform(items, lambda x: F.concat(prefix, x))).otherwise(
             F.array().cast("array<string>")
         )
 
-    word, imported = WEIGHTS["name"], WEIGHTS["imports"]
     keys = features.select(
         "repo_hash", "file_path",
         F.explode(
             F.concat(
-                F.flatten(F.transform("words", lambda w: F.transform("imports", lambda i: F.concat(F.lit("x:"), w, F.lit("|"), i)))),
-                prefixed(directory_needed(0, imported), "i:", c("imports")),
-                prefixed(directory_needed(word, 0), "w:", c("words")),
-                prefixed(directory_needed(0, 0), "d:", F.array(F.lit(""))),
+                F.transform("words", lambda w: F.concat(F.lit("w:"), w)),
+                prefixed(WEIGHTS["imports"], "i:", c("imports")),
+                prefixed(0.0, "d:", F.array(F.lit(""))),
             )
         ).alias("key"),
     )
