@@ -226,7 +226,7 @@ def find_exemplars(
         similarity = ranking.embedding_similarity(cand, embeddings, query_vectors)
     scored = ranking.combine(cand, signals, similarity).groupBy("query_id", "repo_hash", "file_path").agg(F.max("score").alias("score"))
     best = top_rows(scored, ["query_id", "repo_hash"], [F.desc(F.round("score", 9)), c("file_path")], TOP_EXEMPLARS).withColumn(
-        "reason", F.concat(F.lit("top-ranked exemplar in cluster (score "), F.format_number("score", "0.000"), F.lit(")")))
+        "reason", F.concat(F.lit("top-ranked exemplar in cluster (score "), F.format_string("%.3f", c("score")), F.lit(")")))
     bare = inside.join(cand.select(c("query_id").alias("lead")).distinct(), "lead", "left_anti")
     first = top_rows(bare.select(c("lead").alias("query_id"), "repo_hash", "file_path"), ["query_id", "repo_hash"], [c("file_path")], TOP_EXEMPLARS)
     shown = best.select("query_id", "repo_hash", "file_path", "rank", "reason").unionByName(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from repolens.functions import paths, vectors
 
+from repolens.session import cut_lineage
+
 from .graphs import out_degree, pagerank
 
 SIGNALS = (
@@ -114,7 +116,7 @@ def coverage(symbols: DataFrame, refs: DataFrame, distinct_files: bool = False)
 def symbol_signals(symbols: DataFrame, refs: DataFrame, files: DataFrame, as_of, method: str = "pagerank") -> DataFrame:
     """Scaled signals that do not depend on a query, one row per symbol.
 
-    Computed once per batch of requests; each signal is scaled over the rows it has, as missing rows
+    Computed once per batch of requests and frozen; each signal is scaled over the rows it has, as missing rows
     count as 0 only after scaling.
     """
     parts = {
@@ -125,7 +127,7 @@ def symbol_signals(symbols: DataFrame, refs: DataFrame, files: DataFrame, as_of,
     out = symbols.select("repo_hash", "symbol_id")
     for name, df in parts.items():
         out = out.join(df.withColumnRenamed("value", name), ["repo_hash", "symbol_id"], "left")
-    return out.fillna(0.0, list(parts))
+    return cut_lineage(out.fillna(0.0, list(parts)))
 
 
 def combine(

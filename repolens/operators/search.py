@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text
+from repolens.session import cut_lineage
 
 from .ranked import top_rows
 
@@ -114,8 +115,11 @@ def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_C
 
 
 def search_with_fallback(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
-    """Word search; requests it leaves empty are answered by the substring search."""
-    words = text_search(searches, symbols, limit).select("query_id", "repo_hash", "symbol_id")
+    """Word search; requests it leaves empty are answered by the substring search.
+
+    The hits are frozen: they are read twice here, and a search is the dearest step of a query.
+    """
+    words = cut_lineage(text_search(searches, symbols, limit).select("query_id", "repo_hash", "symbol_id"))
     missed = searches.join(words.select("query_id").distinct(), "query_id", "left_anti")
     return words.unionByName(substring_search(missed, symbols, limit).drop("rank"))
 
@@ -134,7 +138,7 @@ def candidates(tasks: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES
         found = found.unionByName(seeds.drop("qualified_name"))
     if vector_hits is not None:
         found = found.unionByName(vector_hits.select("query_id", "repo_hash", "symbol_id"))
-    found = found.distinct()
+    found = cut_lineage(found.distinct())
     left_over = tasks.select("query_id", "repo_hash").join(found.select("query_id").distinct(), "query_id", "left_anti")
     first = top_rows(symbols.select("repo_hash", "qualified_name", "symbol_id"), ["repo_hash"],
                      [c("qualified_name"), c("symbol_id")], limit)
