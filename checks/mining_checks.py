@@ -27,7 +27,7 @@ def symbols(t):
 
 
 MOD = "concat('core.gen.mod_', CAST(p_partkey AS VARCHAR))"
-BEFORE = "concat('core.gen.mod_', CAST(p_partkey - 1 AS VARCHAR), '.fn')"
+BEFORE = "concat('core.gen.mod_', CAST(abs(p_partkey - 1) AS VARCHAR), '.fn')"
 
 
 @check("a4_parse_report", "SELECT repo_hash, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS parsed, count(*) FILTER (WHERE p_partkey % 7 = 0) AS failed FROM fx_source_files GROUP BY repo_hash")

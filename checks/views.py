@@ -149,7 +149,7 @@ FROM conversations
 VIEWS["fx_source_files"] = """
 SELECT 'src' AS repo_hash, s.p_partkey, concat('/core/gen/mod_', CAST(s.p_partkey AS STRING), '.py') AS file_path,
        concat('import os', chr(10),
-              'from core.gen.mod_', CAST(s.p_partkey - 1 AS STRING), ' import fn as dep', chr(10), chr(10),
+              'from core.gen.mod_', CAST(abs(s.p_partkey - 1) AS STRING), ' import fn as dep', chr(10), chr(10),
               'LIMIT = ', CAST(s.line_start AS STRING), chr(10), chr(10),
               'def fn(x, y):', chr(10),
               '    if x is None:', chr(10),
