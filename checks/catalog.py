@@ -1,3 +1,3 @@
 """Imports every check module."""
 
-from . import cluster_checks, flow_checks, mining_checks, query_checks, ranking_checks, routing_checks, scalars, store  # noqa: F401
+from . import cluster_checks, flow_checks, mining_checks, query_checks, ranking_checks, routing_checks, scalars, store, view_checks  # noqa: F401
