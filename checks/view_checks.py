@@ -333,9 +333,10 @@ def u22(t):
     return ru.file_tree(t.files)
 
 
-CHAINED = "SELECT repo_hash, concat('/top/mid', file_path) AS file_path FROM fx_files WHERE file_path LIKE '/core/%'
+CHAINED = """
+SELECT repo_hash, concat('/top/mid', file_path) AS file_path FROM fx_files WHERE file_path LIKE '/core/%'
 UNION ALL SELECT DISTINCT repo_hash, '/top/mid/core/z1/f.py' FROM fx_files WHERE file_path LIKE '/core/%' UNION ALL SELECT DISTINCT repo_hash, '/top/mid/core/z2/f.py' FROM fx_files WHERE file_path LIKE '/core/%'
-UNION ALL SELECT repo_hash, concat('/solo/a/b/c/', repo_hash, '.py') FROM fx_files"
+UNION ALL SELECT repo_hash, concat('/solo/a/b/c/', repo_hash, '.py') FROM fx_files"""
 
 
 @check("u24_flattened_tree", """
