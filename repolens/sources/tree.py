@@ -38,7 +38,7 @@ def source_files(spark: SparkSession, root: str, git_url: str | None = None) ->
         F.lit(root).alias("root"),
         "file_path",
         "last_modified",
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 

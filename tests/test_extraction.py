@@ -60,10 +60,10 @@ def test_python_symbols(spark):
     got = {(r.qualified_name, r.kind, r.line_start, r.line_end, r.signature) for r in symbols.raw_symbols(rows(spark, ("/w/pkg/mod.py", PY))).collect()}
     assert got == {
         ("pkg.mod.LIMIT", "variable", 6, 6, "LIMIT"),
-        ("pkg.mod.top", "function", 10, 19, "top(x, y=(1, 2))"),
+        ("pkg.mod.top", "function", 10, 20, "top(x, y=(1, 2))"),
         ("pkg.mod.top.inner", "method", 15, 16, "inner(z)"),
-        ("pkg.mod.Base", "class", 21, 24, "class Base(h.Thing, metaclass=M)"),
-        ("pkg.mod.Base.go", "method", 23, 24, "go(self)"),
+        ("pkg.mod.Base", "class", 22, 25, "class Base(h.Thing, metaclass=M)"),
+        ("pkg.mod.Base.go", "method", 24, 25, "go(self)"),
     }
 
 
