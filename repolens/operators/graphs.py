@@ -171,7 +171,7 @@ def longest_path_layers(nodes: DataFrame, edges: DataFrame, cycles: str = "share
     return state.where("layer IS NOT NULL").select("repo_hash", "node", "layer").unionByName(rest)
 
 
-def number_rows(df: DataFrame, order: str) -> DataFrame:
+def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """Position from 1 of each row inside its repository, without one task per repository.
 
     Rows are range-partitioned and frozen, numbered inside each partition, and shifted by the counts of
@@ -180,9 +180,9 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     from pyspark.sql import Window
 
     spread = cut_lineage(
-        df.repartitionByRange("repo_hash", order).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange("repo_hash", *order).withColumn("_part", F.spark_partition_id())
     )
-    inside = Window.partitionBy("repo_hash", "_part").orderBy(order)
+    inside = Window.partitionBy("repo_hash", "_part").orderBy(*order)
     before = Window.partitionBy("repo_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.groupBy("repo_hash", "_part").agg(F.count("*").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolens.functions import text
 from repolens.session import cut_lineage
 
+from .graphs import number_rows
 from .ranked import top_rows
 
 # Candidates and results kept per request.
@@ -55,40 +56,38 @@ def search_terms(tasks: DataFrame) -> DataFrame:
     return tasks.select("query_id", "repo_hash", wanted.alias("search"))
 
 
-def token_table(symbols: DataFrame) -> DataFrame:
-    """Words of name and signature per symbol with their counts."""
-    words = symbols.select(
-        "repo_hash", "symbol_id", "qualified_name", F.explode(text.search_tokens(c("qualified_name"), c("signature"))).alias("token")
-    )
-    return words.groupBy("repo_hash", "token", "symbol_id", "qualified_name").agg(F.count("*").alias("hits"))
+def numbered_symbols(symbols: DataFrame) -> DataFrame:
+    """Symbols with their position in name order, so that searches sort and group on numbers."""
+    return number_rows(symbols.select("repo_hash", "qualified_name", "symbol_id", "signature"), "qualified_name", "symbol_id")
 
 
-def distinct_searches(searches: DataFrame) -> DataFrame:
-    """Equal searches of a repository are answered once: adds `search_id`."""
-    key = F.array_sort(F.array_distinct(text.search_tokens(c("search"))))
-    return searches.withColumn("terms", key).withColumn(
-        "search_id", F.xxhash64("repo_hash", F.array_join("terms", " "), F.element_at(F.split(F.trim("search"), r"\s+"), 1))
-    )
+def token_table(numbered: DataFrame) -> DataFrame:
+    """Words of name and signature per symbol position with their counts."""
+    words = numbered.select("repo_hash", "position", F.explode(text.search_tokens(c("qualified_name"), c("signature"))).alias("token"))
+    return words.groupBy("repo_hash", "token", "position").agg(F.count("*").alias("hits"))
 
 
 def text_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
     """Whole-word OR search, best first: `(query_id, repo_hash, symbol_id, hits, rank)`.
 
-    Each distinct search meets the token table once; the rank filter prunes in the map tasks, and
-    only the kept rows fan out to the requests that asked for them.
+    Each distinct set of words meets the token table once, under a number of its own (frozen, so it is
+    stable). The wide middle part carries three numbers a row; the rank filter prunes in the map tasks;
+    only kept rows get their symbol back and fan out to the requests that asked for them.
     """
-    asked = distinct_searches(searches)
-    once = asked.select("search_id", "repo_hash", "terms").dropDuplicates(["search_id", "repo_hash"])
+    terms = F.array_sort(F.array_distinct(text.search_tokens(c("search"))))
+    asked = searches.select("query_id", "repo_hash", terms.alias("terms"))
+    once = cut_lineage(asked.select("repo_hash", "terms").distinct().withColumn("search_id", F.monotonically_increasing_id()))
+    numbered = numbered_symbols(symbols)
     matched = (
         once.select("search_id", "repo_hash", F.explode("terms").alias("token"))
-        .join(token_table(symbols), ["repo_hash", "token"])
-        .groupBy("search_id", "repo_hash", "symbol_id", "qualified_name")
+        .join(token_table(numbered), ["repo_hash", "token"])
+        .groupBy("search_id", "position")
         .agg(F.sum("hits").alias("hits"))
     )
-    best = top_rows(matched, ["search_id", "repo_hash"], [F.desc("hits"), c("qualified_name"), c("symbol_id")], limit)
-    return asked.select("query_id", "repo_hash", "search_id").join(best, ["search_id", "repo_hash"]).select(
-        "query_id", "repo_hash", "symbol_id", "hits", "rank"
-    )
+    best = top_rows(matched, ["search_id"], [F.desc("hits"), c("position")], limit)
+    named = best.join(once.select("search_id", "repo_hash", "terms"), "search_id").join(
+        numbered.select("repo_hash", "position", "symbol_id"), ["repo_hash", "position"])
+    return asked.join(named, ["repo_hash", "terms"]).select("query_id", "repo_hash", "symbol_id", "hits", "rank")
 
 
 def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:

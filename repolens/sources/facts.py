@@ -32,14 +32,21 @@ class _PythonFacts(ast.NodeVisitor):
     """Facts of one parsed Python file. `scope` is null for definitions a scope walk does not reach."""
 
     def __init__(self, source: str):
-        self.lines = source.splitlines(keepends=True)
+        self.lines = re.split(r"(?<=\n)", source.replace("\r\n", "\n").replace("\r", "\n"))
         self.source, self.rows, self.owners = source, [], []
 
     def add(self, fact, **values):
         self.rows.append({"fact": fact, "seq": len(self.rows), **values})
 
     def text(self, node):
-        return ast.get_source_segment(self.source, node) or ""
+        """Source text of a node; columns count UTF-8 bytes."""
+        part = self.lines[node.lineno - 1 : node.end_lineno]
+        if len(part) == 1 and part[0].isascii():
+            return part[0][node.col_offset : node.end_col_offset]
+        raw = [line.encode() for line in part]
+        raw[-1] = raw[-1][: node.end_col_offset]
+        raw[0] = raw[0][node.col_offset :]
+        return b"".join(raw).decode()
 
     def brackets(self, node, parts):
         """Source text of the bracket after a definition's name, given the nodes inside it."""
@@ -259,11 +266,15 @@ def syntax_facts(source_files: DataFrame, keep: tuple[str, ...] = ("repo_hash",
     layout = pa.schema([(n, types.get(n, strings)) for n in names])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for record in batch.to_pylist():
                 base = {k: record[k] for k in keep}
-                rows = [base | fact for fact in _file_facts(record["lang"], record["content"])]
-                yield pa.RecordBatch.from_pylist(rows, schema=layout)
+                rows += [base | fact for fact in _file_facts(record["lang"], record["content"])]
+                if len(rows) >= 5000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=layout)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=layout)
 
     ready = source_files.withColumn("lang", paths.language_of(F.col("file_path"))).where("lang IS NOT NULL")
     schema = ", ".join(f"{k} string" for k in keep) + ", " + FACT_COLUMNS
