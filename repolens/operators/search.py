@@ -85,9 +85,10 @@ def text_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDID
         .agg(F.sum("hits").alias("hits"))
     )
     best = top_rows(matched, ["search_id"], [F.desc("hits"), c("position")], limit)
-    named = best.join(once.select("search_id", "repo_hash", "terms"), "search_id").join(
+    named = best.join(once.select("search_id", "repo_hash"), "search_id").join(
         numbered.select("repo_hash", "position", "symbol_id"), ["repo_hash", "position"])
-    return asked.join(named, ["repo_hash", "terms"]).select("query_id", "repo_hash", "symbol_id", "hits", "rank")
+    who = asked.join(once, ["repo_hash", "terms"]).select("query_id", "repo_hash", "search_id")
+    return who.join(named.drop("repo_hash", "position"), "search_id").select("query_id", "repo_hash", "symbol_id", "hits", "rank")
 
 
 def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
