@@ -116,7 +116,7 @@ EVENTS = "SELECT repo_hash, 'f' AS file_path, CAST(event_id // 50 AS INT) AS fn_
 
 
 @check("e3_prior_call", f"""
-SELECT e.event_id, (SELECT arg_max(p.call_text, p.position) FROM ({EVENTS}) p WHERE p.repo_hash = e.repo_hash AND p.fn_line = e.fn_line AND p.position < e.position AND p.kind <> 'assert' AND p.call_text IS NOT NULL) AS prior_call FROM ({EVENTS}) e""".replace("//", "//"))
+SELECT e.event_id, (SELECT arg_max(p.call_text, p.position) FROM ({EVENTS}) p WHERE p.repo_hash = e.repo_hash AND p.fn_line = e.fn_line AND p.position < e.position AND p.kind <> 'assert' AND p.call_text IS NOT NULL) AS prior_call FROM ({EVENTS}) e""")
 def e3(t):
     rows = t.sql(EVENTS.replace("event_id // 50", "floor(event_id / 50)"))
     return inv.prior_calls(rows).select("event_id", "prior_call")

@@ -75,9 +75,6 @@ def p5(t):
     return out
 
 
-ROLE_TAG = "CASE WHEN split_part(role, ' ', 1) = 'the' THEN split_part(role, ' ', 2) END"
-
-
 @check("p6_cluster_tags", f"WITH {TAGS} SELECT repo_hash, cluster_id, cluster_short FROM tag UNION ALL SELECT repo_hash, concat('w', cluster_id), 'DIRECTORY' FROM fx_clusters")
 def p6(t):
     bare = t.clusters.withColumn("cluster_id", F.concat(F.lit("w"), c("cluster_id")))  # clusters without files: tag from the role

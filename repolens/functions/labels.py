@@ -83,7 +83,7 @@ def tier(path: Column) -> Column:
         .otherwise("Backend")
     )
     # The order the rules are tried in is Frontend, Backend, Database.
-    by_path, by_top = by_ext, None
+    by_path = by_ext
     for label, pattern in reversed(TIER_PATH_RULES):
         by_path = F.when(p.rlike(pattern), label).otherwise(by_path)
     by_top = by_path
