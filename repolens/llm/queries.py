@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, elias_fano, exact_dedup, mixing, packing, quartile_digest, simhash_trie, toxicity, warc
+from . import chat, elias_fano, exact_dedup, html_template, mixing, packing, quartile_digest, simhash_trie, toxicity, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=3)
