@@ -9,12 +9,12 @@ in that one are the host's template. Its tags are the frame of the pages and its
 
 What the frame leaves open are the slots. Text of a slot is article text by the strongest sign that the page has:
 inside <article>, inside <main> (or role=main), inside an element named as an article, inside one named as content;
-with none of these the slot with the most text that is no link. Elements of navigation, headers, footers, sidebars,
+with none of these the innermost slot with half of the text that is no link. Elements of navigation, headers, footers, sidebars,
 notices, adverts, forms and comments are left out by tag, role or class name, and so are template texts that stand on
 `CONSTANT` of at least `LEAST_PAGES` distinct pages of the host. A host with fewer pages has no evidence for a template:
 each of its pages is its own frame. Paragraphs that copies or quotations repeat on some pages of a host are kept.
 
-Null or empty html gives the empty text; null urls are one host; repeated rows count once for the template.
+Pages without a tag or text count for no template. Null or empty html gives the empty text; null urls are one host; repeated rows count once for the template.
 """
 
 from __future__ import annotations
@@ -84,10 +84,10 @@ def named(attributes: dict[str, str]) -> tuple[bool, int]:
 
 
 class Element:
-    __slots__ = ("tag", "path", "aside", "level", "inline")
+    __slots__ = ("tag", "path", "aside", "level", "inline", "number")
 
-    def __init__(self, tag: str, path: int, aside: bool, level: int, inline: bool):
-        self.tag, self.path, self.aside, self.level, self.inline = tag, path, aside, level, inline
+    def __init__(self, tag: str, path: int, aside: bool, level: int, inline: bool, number: int):
+        self.tag, self.path, self.aside, self.level, self.inline, self.number = tag, path, aside, level, inline, number
 
 
 class Block:
@@ -108,7 +108,7 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
     page = page or ""
     tokens: list[int] = []
     blocks: list[Block] = []
-    stack = [Element("", 0, False, 0, False)]
+    stack = [Element("", 0, False, 0, False, 0)]
     pieces: list[str] = []
     links = at = linked = 0
     size = len(page)
@@ -124,7 +124,7 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
                 tokens.append(token)
                 blocks.append(Block(
                     text, token, any(e.aside for e in stack), max(e.level for e in stack),
-                    [e.path for e in stack if e.tag in CONTAINERS], linked / len(text)))
+                    [(e.path, e.number) for e in stack if e.tag in CONTAINERS], linked / len(text)))
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -201,7 +201,7 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
         path = stack[-1].path if inline else hashed(next(e.path for e in reversed(stack) if not e.inline), label)
         if name == "a":
             links += 1
-        stack.append(Element(name, path, aside, level, inline))
+        stack.append(Element(name, path, aside, level, inline, len(tokens)))
         if not inline:
             tokens.append(path * 2)
         if raw.endswith("/") and name in ("div", "section", "p"):
@@ -220,15 +220,18 @@ def main_text(page: str | None, frame: frozenset[int] = frozenset(), constant: f
     if best:
         chosen = [b for b in open_blocks if b.level == best]
     else:
-        # no sign of an article: the frame's slot with the most text outside of links
-        held: dict[int, float] = {}
-        slot_of = []
+        # no sign of an article: the innermost element of the frame that holds half of the text outside of links
+        held: dict[tuple[int, int], float] = {}
+        total = 0.0
         for b in open_blocks:
-            inside = [c for c in b.containers if not frame or c * 2 in frame]
-            slot_of.append(inside[-1] if inside else 0)
-            held[slot_of[-1]] = held.get(slot_of[-1], 0) + len(b.text) * (1 - min(1, b.linked))
-        slot = max(held, key=held.get)
-        chosen = [b for b, s in zip(open_blocks, slot_of) if s == slot or slot in b.containers]
+            plain = len(b.text) * (1 - min(1, b.linked))
+            total += plain
+            for c in b.containers:
+                if not frame or c[0] * 2 in frame:
+                    held[c] = held.get(c, 0) + plain
+        around = [c for c, n in held.items() if n >= total / 2]
+        slot = max(around, key=lambda c: c[1], default=None)  # elements are numbered as they open
+        chosen = [b for b in open_blocks if slot is None or slot in b.containers]
     return " ".join(b.text for b in chosen)
 
 
@@ -277,7 +280,7 @@ def page_tokens(hosted: DataFrame) -> DataFrame:
 
     read = hosted.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(
         run, "host string, page long, tokens array<long>, times array<int>")
-    return stored(read.dropDuplicates(["host", "page"]), "page-tokens")
+    return stored(read.where(F.size("tokens") > 0).dropDuplicates(["host", "page"]), "page-tokens")
 
 
 def of_host(rows: DataFrame, groups: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -331,7 +334,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     hosted = with_host(pages)
     tokens = page_tokens(hosted)
     counts = hosted.groupBy("host").agg(F.count("*").alias("n_rows"))
-    hosts = stored(counts.join(tokens.groupBy("host").agg(F.count("*").alias("n_pages")), "host"), "hosts")
+    distinct = tokens.groupBy("host").agg(F.count("*").alias("n_pages"))
+    hosts = stored(counts.join(distinct, "host", "left").fillna(0, ["n_pages"]), "hosts")
     found = stored(templates(tokens, hosts), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import slices
@@ -30,6 +30,7 @@ from .tokens import slices
 #: Most labelled rows that training takes to the driver.
 MAX_ROWS = 8000
 FOLDS = 5
+THRESHOLD = 0.5
 BUCKETS = 1 << 17
 SIZE = 8
 NGRAMS = (3, 4, 5)
@@ -201,21 +202,29 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return [(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))]
 
 
+def shared_tables(spark: SparkSession, model: SubwordModel):
+    """The margin of each feature, sent to executors: one float per bucket, half a megabyte for any corpus."""
+    margins, bias = model.tables()
+    return spark.sparkContext.broadcast((margins.astype(np.float32).tobytes(), bias))
+
+
+def scorer(shared) -> Scorer:
+    raw, bias = shared.value
+    return Scorer(np.frombuffer(raw, np.float32).astype(np.float64), bias)
+
+
 def score_documents(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    margins, bias = model.tables()
-    # one float per bucket: a fixed megabyte, whatever the corpus
-    shared = docs.sparkSession.sparkContext.broadcast((margins.astype(np.float32).tobytes(), bias))
+    shared = shared_tables(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, b = shared.value
-        tool = Scorer(np.frombuffer(raw, np.float32).astype(np.float64), b)
+        tool = scorer(shared)
         for batch in batches:
             for a, e in slices(batch.num_rows, 256):
                 part = batch.slice(a, e - a)
                 scores = tool.scores(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
+                    [part.column(0), part.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
@@ -223,6 +232,21 @@ def score_documents(docs: DataFrame, model: SubwordModel) -> DataFrame:
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean_documents(docs: DataFrame, model: SubwordModel) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below the threshold; filtered where they are read."""
+    shared = shared_tables(docs.sparkSession, model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = scorer(shared)
+        for batch in batches:
+            for a, e in slices(batch.num_rows, 256):
+                part = batch.slice(a, e - a)
+                yield part.filter(pa.array(tool.scores(part.column(at).to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Train on the labelled rows of `labelled` and score `docs`."""
     return score_documents(docs, train(labelled_rows(labelled, labels, max_rows)))
