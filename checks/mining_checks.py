@@ -160,7 +160,8 @@ def e9(t):
     # Every second function gets a comment line in place of the blank line above it.
     commented = F.when(c("p_partkey") % 2 == 0, F.replace(c("content"), F.lit("\n\ndef fn"), F.lit("\n# checks x\ndef fn"))).otherwise(c("content"))
     parsed = fa.syntax_facts(files(t).withColumn("content", commented))
-    return inv.comment_prompts(parsed, sy.give_ids(sy.raw_symbols(parsed))).select("repo_hash", "source_location", "rank")
+    # the documented budget, asked for
+    return inv.comment_prompts(parsed, sy.give_ids(sy.raw_symbols(parsed)), 200).select("repo_hash", "source_location", "rank")
 
 
 @check("e11_comment_candidates", """
@@ -198,11 +199,11 @@ CAPPED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_hash
 
 @check("e14_capped", f"SELECT candidate_id, rank FROM ({CAPPED}) q")
 def e14(t):
-    return inv.cap(deduped(t), ("seq",)).select("candidate_id", "rank")
+    return inv.cap(deduped(t), ("seq",), 2000).select("candidate_id", "rank")
 
 
 @check("e15_counts", f"""
 SELECT repo_hash, count(*) AS invariants, count(*) FILTER (WHERE source_kind = 'test') AS test, count(*) FILTER (WHERE source_kind = 'defensive') AS defensive, count(*) FILTER (WHERE source_kind = 'comment') AS comment,
-  count(*) FILTER (WHERE confidence >= 0.75) AS high, count(*) FILTER (WHERE confidence >= 0.5 AND confidence < 0.75) AS med, count(*) FILTER (WHERE confidence < 0.5) AS low FROM ({CAPPED}) q GROUP BY repo_hash""")
+  count(*) FILTER (WHERE confidence >= 0.75) AS high, count(*) FILTER (WHERE confidence >= 0.5 AND confidence < 0.75) AS med, count(*) FILTER (WHERE confidence < 0.5) AS low FROM ({DEDUPED}) q GROUP BY repo_hash""")
 def e15(t):
-    return inv.counts(inv.cap(deduped(t), ("seq",)))
+    return inv.counts(deduped(t))

@@ -195,17 +195,12 @@ WHERE e1.dst <> e1.src AND e2.dst <> e1.dst AND e2.dst <> e1.src
   AND e3.dst <> e2.dst AND e3.dst <> e1.dst AND e3.dst <> e1.src
 """
 
-# Stored flows: at most 2,000 a repository, as the index keeps them.
+# Stored flows: every path.
 VIEWS["fx_flows"] = """
-SELECT repo_hash, concat_ws('>', n1, n2, n3, n4) AS flow_id, n1 AS source_symbol_id, coalesce(n4, n3, n2) AS sink_symbol_id,
+SELECT p.repo_hash, concat_ws('>', n1, n2, n3, n4) AS flow_id, n1 AS source_symbol_id, coalesce(n4, n3, n2) AS sink_symbol_id,
        CASE WHEN depth > 1 THEN n2 END AS mid1, CASE WHEN depth > 2 THEN n3 END AS mid2, 'call_chain' AS flow_kind,
-       CASE WHEN tagged = 1 THEN 'password' END AS sensitivity
-FROM (SELECT p.*, CASE WHEN q.symbol_id IS NULL THEN 0 ELSE 1 END AS tagged,
-             row_number() OVER (PARTITION BY p.repo_hash ORDER BY CASE WHEN q.symbol_id IS NULL THEN 1 ELSE 0 END,
-                                p.depth DESC, concat_ws('>', n1, n2, n3, n4)) AS rn
-      FROM fx_paths p LEFT JOIN (SELECT symbol_id FROM fx_symbols WHERE qualified_name LIKE '%password%') q
-        ON q.symbol_id = p.n1) t
-WHERE rn <= 2000
+       CASE WHEN q.symbol_id IS NOT NULL THEN 'password' END AS sensitivity
+FROM fx_paths p LEFT JOIN (SELECT symbol_id FROM fx_symbols WHERE qualified_name LIKE '%password%') q ON q.symbol_id = p.n1
 """
 
 

@@ -68,7 +68,7 @@ def looks_like_identifier(text: Column) -> Column:
 def guard_text(condition: Column) -> Column:
     """English form of a guard condition; the raw text when no short form fits."""
     raw = strip(condition)
-    negated = strip(F.substring(raw, 5, 1_000_000))
+    negated = strip(F.substr(raw, F.lit(5)))
     compared = strip(F.regexp_replace(raw, r"(?s) is None$", ""))
     return (
         F.when(raw == "", F.lit(None).cast("string"))
@@ -134,7 +134,7 @@ def task_type(task: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """Drop a leading code-fence line and a trailing fence."""
     t = strip(text)
-    body = F.when(t.contains("\n"), F.regexp_replace(t, r"(?s)\A[^\n]*\n", "")).otherwise(F.substring(t, 4, 1_000_000))
+    body = F.when(t.contains("\n"), F.regexp_replace(t, r"(?s)\A[^\n]*\n", "")).otherwise(F.substr(t, F.lit(4)))
     return F.when(t.startswith("```"), strip(F.regexp_replace(body, r"```\z", ""))).otherwise(t)
 
 

@@ -9,13 +9,9 @@ from repolens.functions import paths, text
 
 from .ranked import first_by, top_rows
 
-# Confidence and priority by source kind, text limits and budgets.
+# Confidence and priority by source kind, distances in lines.
 CONFIDENCE = {"test": 0.85, "defensive": 0.60, "comment": 0.35}
 PRIORITY = {"test": 0, "defensive": 1, "comment": 2}
-MAX_TEXT = 500
-DEDUPE_TEXT = 200
-MAX_INVARIANTS = 2000
-MAX_PROMPTS = 200
 COMMENT_DISTANCE = 3
 LONG_FUNCTION = 30
 LINE_BUCKET = 64
@@ -107,15 +103,8 @@ def mine_guards(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     return _candidate(owned, "owner_id", body, "defensive")
 
 
-# Fixed value: what the model is asked to return for a commented function.
-COMMENT_PROMPT = (
-    "Extract a single short invariant statement (precondition/postcondition/required state) implied by the code. "
-    "Reply with only the invariant text in plain English, no JSON."
-)
-
-
-def comment_prompts(facts: DataFrame, symbols: DataFrame, budget: int = MAX_PROMPTS) -> DataFrame:
-    """Prompts for commented functions with a risky part near the comment, or short functions, up to a budget."""
+def comment_prompts(facts: DataFrame, symbols: DataFrame, budget: int | None = None) -> DataFrame:
+    """Prompts for commented functions with a risky part near the comment, or short functions; with a budget, the first by path."""
     rows = facts.where("fact = 'commented'").where(
         (c("line") <= COMMENT_DISTANCE) | (c("line_end") - c("fn_line") <= LONG_FUNCTION))
     owners = enclosing_functions(rows, symbols, "fn_line")
@@ -126,7 +115,7 @@ def comment_prompts(facts: DataFrame, symbols: DataFrame, budget: int = MAX_PROM
         "repo_hash", "file_path", "seq", c("owner_id").alias("target_symbol_id"),
         F.concat(F.lit("Function: "), signature, F.lit("\n\nSource:\n```python\n"), c("text"), F.lit("\n```")).alias("prompt"),
         F.concat("file_path", F.lit(":"), c("fn_line").cast("string")).alias("source_location"))
-    return top_rows(prompts, ["repo_hash"], [c("file_path"), c("seq")], budget)
+    return prompts if budget is None else top_rows(prompts, ["repo_hash"], [c("file_path"), c("seq")], budget)
 
 
 def comment_candidates(prompts: DataFrame, replies: DataFrame) -> DataFrame:
@@ -140,19 +129,18 @@ def comment_candidates(prompts: DataFrame, replies: DataFrame) -> DataFrame:
 def validate(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     """Every candidate with cleaned text and its `fate`: `kept`, `invalid_target` or `empty_text`."""
     known = symbols.select("repo_hash", c("symbol_id").alias("target_symbol_id"), F.lit(True).alias("_known"))
-    clean = F.substring(text.collapse_spaces(F.coalesce("text", F.lit(""))), 1, MAX_TEXT)
+    clean = text.collapse_spaces(F.coalesce("text", F.lit("")))
     return candidates.join(known, ["repo_hash", "target_symbol_id"], "left").withColumn("text", clean).withColumn(
         "fate", F.when(c("_known").isNull(), "invalid_target").when(c("text") == "", "empty_text").otherwise("kept")).drop("_known")
 
 
 def dedupe(valid: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """First row per target, source kind and first 200 characters, in arrival order."""
-    keyed = valid.withColumn("_head", F.substring("text", 1, DEDUPE_TEXT))
-    return first_by(keyed, ["repo_hash", "target_symbol_id", "source_kind", "_head"], [c(o) for o in order]).drop("_head")
+    """First row per target, source kind and whole text, in arrival order."""
+    return first_by(valid, ["repo_hash", "target_symbol_id", "source_kind", "text"], [c(o) for o in order])
 
 
-def cap(rows: DataFrame, order: tuple[str, ...], limit: int = MAX_INVARIANTS) -> DataFrame:
-    """Most certain first, then by source, then arrival."""
+def cap(rows: DataFrame, order: tuple[str, ...], limit: int) -> DataFrame:
+    """The first `limit` rows of each repository, for callers that ask for a bound: most certain first, then by source, then arrival."""
     priority = F.lit(99)
     for kind, value in PRIORITY.items():
         priority = F.when(c("source_kind") == kind, value).otherwise(priority)
@@ -168,8 +156,8 @@ def counts(rows: DataFrame) -> DataFrame:
         F.count_if(high).alias("high"), F.count_if(med).alias("med"), F.count_if(c("confidence") < 0.5).alias("low"))
 
 
-def mine(facts: DataFrame, symbols: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """Invariant table of every repository. `symbols` needs the extraction order column `seq`."""
+def mine(facts: DataFrame, symbols: DataFrame, replies: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Invariant table of every repository, all rows unless a limit is given. `symbols` needs the extraction order column `seq`."""
     tests, _ = mine_tests(facts, symbols)
     found = tests.withColumn("_part", F.lit(0)).unionByName(mine_guards(facts, symbols).withColumn("_part", F.lit(1)))
     if replies is not None:
@@ -177,7 +165,9 @@ def mine(facts: DataFrame, symbols: DataFrame, replies: DataFrame | None = None)
     # Per file, test rows come before guards; comment rows come after all files.
     found = found.withColumn("late", F.col("_part") == 2).withColumn("pass", c("_part"))
     order = ("late", "file_path", "pass", "seq")
-    kept = cap(dedupe(validate(found, symbols).where("fate = 'kept'"), order), order)
+    kept = dedupe(validate(found, symbols).where("fate = 'kept'"), order)
+    if limit is not None:
+        kept = cap(kept, order, limit)
     return kept.select(
-        "repo_hash", text.row_id(c("repo_hash"), c("target_symbol_id"), c("source_kind"), F.substring("text", 1, DEDUPE_TEXT)).alias("invariant_id"),
+        "repo_hash", text.row_id(c("repo_hash"), c("target_symbol_id"), c("source_kind"), c("text")).alias("invariant_id"),
         "target_symbol_id", "text", "source_kind", "source_location", "confidence")

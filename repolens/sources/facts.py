@@ -139,7 +139,7 @@ class _PythonFacts(ast.NodeVisitor):
         doc = ast.get_docstring(fn, clean=False) is not None
         if risky is not None and (doc or above.startswith("#")):
             comment = fn.body[0].lineno if doc else max(0, fn.lineno - 1)
-            snippet = "".join(self.lines[fn.lineno - 1 : fn.lineno + 29]).rstrip("\n")
+            snippet = "".join(self.lines[fn.lineno - 1 : fn.end_lineno]).rstrip("\n")
             self.add("commented", text=snippet, line=abs(risky.lineno - comment), line_end=fn.end_lineno, fn_line=fn.lineno)
 
 
