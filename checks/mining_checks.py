@@ -15,7 +15,8 @@ c = F.col
 
 
 def files(t):
-    return t.source_files.withColumn("root", F.lit("/"))
+    # the generated files come from few partitions of a small table
+    return t.source_files.repartition(8, "p_partkey").withColumn("root", F.lit("/"))
 
 
 def facts(t):
@@ -88,15 +89,35 @@ def b18(t):
     return sy.resolution_report(sy.resolve_refs(t.sql(NAME_REFS), t.sql(NAMED)))
 
 
-@check("b20_symbol_embeddings")
+def hashed_words(key, rows):
+    """Number of filled places, the largest value and the mean place of the default embedding of `(key, text)` rows."""
+    return f"""
+WITH w AS (SELECT {key}, unnest(regexp_split_to_array(trim(lower(text)), '\\s+')) AS word FROM ({rows}) x),
+n AS (SELECT {key}, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 384 AS place, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL)
+SELECT {key}, 384 AS dims, count(*) AS filled, round(max(n) / sqrt(sum(n * n)), 4) AS largest, round(sum(place * n) / sum(n), 2) AS mean_place FROM n GROUP BY {key}"""
+
+
+def vector_facts(rows, key):
+    v = c("embedding")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    places = F.aggregate(F.transform(v, lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+    return rows.where("embedding_error IS NULL").select(
+        key, F.size(v).alias("dims"), F.size(F.filter(v, lambda x: x > 0)).cast("bigint").alias("filled"),
+        F.round(F.array_max(v).cast("double"), 4).alias("largest"), F.round(places / total, 2).alias("mean_place"))
+
+
+EMBEDDED = "SELECT symbol_id, concat(kind, ' ', qualified_name, CASE WHEN coalesce(signature, '') = '' THEN '' ELSE concat(' ', signature) END) AS text FROM fx_symbols"
+
+
+@check("b20_symbol_embeddings", hashed_words("symbol_id", EMBEDDED))
 def b20(t):
     texts = t.symbols.select("symbol_id", text.embedding_text(c("kind"), c("qualified_name"), c("signature")).alias("text"))
-    return sy.embed_texts(texts, "text").select("symbol_id", F.size("embedding").alias("dims"))
+    return vector_facts(sy.embed_texts(texts, "text"), "symbol_id")
 
 
-@check("b21_query_embeddings")
+@check("b21_query_embeddings", hashed_words("query_id", "SELECT query_id, question AS text FROM fx_requests"))
 def b21(t):
-    return sy.embed_texts(t.requests.select("query_id", "question"), "question").select("query_id", F.size("embedding").alias("dims"))
+    return vector_facts(sy.embed_texts(t.requests.select("query_id", "question"), "question"), "query_id")
 
 
 # Test twins of the generated files: same body, in a tests folder, calling the function before the assert.

@@ -28,7 +28,8 @@ def pagerank(
 
     Parallel edges collapse, dangling mass is spread evenly, and a repository freezes at the round
     where its L1 change falls under `nodes * tolerance`. Messages are summed map-side; the
-    per-repository totals of a round are one small row per repository.
+    per-repository totals of a round are one small row per repository. A repository that has not frozen after
+    `max_rounds` gets its out-degrees instead.
     """
     nodes = symbols.select("repo_hash", "symbol_id").distinct()
     links = refs.select(
@@ -55,8 +56,11 @@ def pagerank(
             .where(F.col("err") >= F.col("n") * tolerance)
         )
         if moving.isEmpty():
-            break
-    return state.select("repo_hash", "symbol_id", "value")
+            return state.select("repo_hash", "symbol_id", "value")
+    # what still moves after the last round falls back to the out-degree
+    late = cut_lineage(moving.select("repo_hash"))
+    return state.select("repo_hash", "symbol_id", "value").join(late, "repo_hash", "left_anti").unionByName(
+        out_degree(symbols.join(late, "repo_hash", "left_semi"), refs))
 
 
 def _pagerank_round(state: DataFrame, links: DataFrame, alpha: float, tolerance: float) -> DataFrame:
@@ -161,6 +165,8 @@ def longest_path_layers(nodes: DataFrame, edges: DataFrame, cycles: str = "share
         state = state.drop("new")
         if not grew:
             break
+    else:
+        raise RuntimeError(f"layers did not close in {max_rounds} rounds")
     deepest = state.groupBy("repo_hash").agg(F.coalesce(F.max("layer"), F.lit(0)).alias("deepest"))
     rest = state.where("layer IS NULL").select("repo_hash", "node")
     if cycles == "stepped":

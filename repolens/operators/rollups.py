@@ -269,6 +269,8 @@ def flattened_tree(tree: DataFrame, max_rounds: int = 40) -> DataFrame:
         state = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"folder chains did not close in {max_rounds} rounds")
     top = paths.dirname(c("path"))
     return state.withColumn("display", F.substr("end_path", F.length(top) + F.when(top == "", F.when(c("path").startswith("/"), 2).otherwise(1)).otherwise(2)))
 
@@ -285,10 +287,5 @@ def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(seen.withColumnRenamed("id", "source"), ["repo_hash", "source"], "left_semi").join(seen.withColumnRenamed("id", "target"), ["repo_hash", "target"], "left_semi")
 
 
-def edges_of_dependencies(nodes: DataFrame) -> DataFrame:
-    """Edges from the `dependencies` array of nodes, for views without an edge list."""
-    return nodes.select("repo_hash", c("id").alias("source"), F.explode("dependencies").alias("target")).withColumn("kind", F.lit("dependency"))
-
-
 def file_list(nodes: DataFrame) -> DataFrame:
     return nodes.where("file_path IS NOT NULL AND file_path <> ''").select("repo_hash", "file_path").distinct().orderBy("repo_hash", "file_path")

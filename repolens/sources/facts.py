@@ -258,7 +258,7 @@ def _file_facts(lang: str, source: str | None) -> list[dict]:
 def syntax_facts(source_files: DataFrame, keep: tuple[str, ...] = ("repo_hash", "root", "file_path")) -> DataFrame:
     """Facts of every supported file. Whole texts are parsed; files of other languages are skipped.
 
-    Files are spread by path before the parse, so a repository with many files feeds many tasks.
+    Files are parsed where they are read; no text is shuffled. The scan's splits are the tasks.
     """
     strings, ints = pa.string(), pa.int32()
     types = {"seq": ints, "line": ints, "line_end": ints, "fn_line": ints, "flag": pa.bool_(), "owners": pa.list_(strings)}
@@ -278,7 +278,7 @@ def syntax_facts(source_files: DataFrame, keep: tuple[str, ...] = ("repo_hash",
 
     ready = source_files.withColumn("lang", paths.language_of(F.col("file_path"))).where("lang IS NOT NULL")
     schema = ", ".join(f"{k} string" for k in keep) + ", " + FACT_COLUMNS
-    return ready.select(*keep, "lang", "content").repartition("repo_hash", "file_path").mapInArrow(parse, schema)
+    return ready.select(*keep, "lang", "content").mapInArrow(parse, schema)
 
 
 def parse_report(facts: DataFrame) -> DataFrame:

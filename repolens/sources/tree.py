@@ -28,11 +28,22 @@ def list_tree(spark: SparkSession, root: str, with_content: bool = False) -> Dat
 
 
 def source_files(spark: SparkSession, root: str, git_url: str | None = None) -> DataFrame:
-    """Supported source files of one repository: `(repo_hash, root, file_path, last_modified, content)`."""
+    """Supported source files of one repository: `(repo_hash, root, file_path, last_modified, content)`.
+
+    A file above `spark.sql.sources.binaryFile.maxLength` has null content and becomes an error row when parsed.
+    """
     url = F.lit(git_url).cast("string")
-    listed = list_tree(spark, root, with_content=True)
-    return listed.where(
-        ~paths.in_pruned_directory(F.col("relative_path")) & paths.is_source_file(F.col("relative_path"))
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,ts,tsx}").load(root)
+    path = F.regexp_replace("path", "^file:/+", "/")
+    # filters on file metadata choose the files of the scan: pruned folders and oversized files are never opened
+    listed = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    prefix = root.rstrip("/") + "/"
+    inside = F.when(listed.startswith(prefix), F.substr(listed, F.lit(len(prefix) + 1))).otherwise(listed)
+    kept = raw.where(~paths.in_pruned_directory(inside) & paths.is_source_file(inside))
+    fits = F.col("_metadata.file_size") <= most
+    return kept.where(fits).select(path.alias("file_path"), F.col("modificationTime").alias("last_modified"), "content").unionByName(
+        kept.where(~fits).select(path.alias("file_path"), F.col("modificationTime").alias("last_modified"), F.lit(None).cast("binary").alias("content"))
     ).select(
         text.repo_id(url, F.lit(root)).alias("repo_hash"),
         F.lit(root).alias("root"),

@@ -110,8 +110,3 @@ def newest_facts(spark: SparkSession, target: str) -> DataFrame:
     rows = spark.read.parquet(target)
     last = rows.groupBy("repo_hash", "file_path").agg(F.max(F.struct("version", "batch")).alias("v")).select("repo_hash", "file_path", "v.*")
     return rows.join(last, ["repo_hash", "file_path", "version", "batch"], "left_semi").drop("version", "batch")
-
-
-def event_key(events: DataFrame) -> DataFrame:
-    """Stable id of an event for exactly-once consumers."""
-    return events.withColumn("event_key", text.row_id(F.col("repo_hash"), F.col("event_id")))

@@ -148,3 +148,20 @@ def test_embedding_failure_keeps_rows(spark):
     assert [r.embedding for r in symbols.embed_texts(df, "t", broken).collect()] == [None, None]
     ok = symbols.embed_texts(df, "t").collect()
     assert all(len(r.embedding) == 384 and sum(x * x for x in r.embedding) == pytest.approx(1.0) for r in ok)
+
+
+def test_scan_never_opens_pruned_or_oversized_files(spark, tmp_path):
+    for path, size in {"a b/ok.py": 20, "node_modules/huge.py": 5000, ".git/x.py": 5000, "big.py": 5000, "lib/c.d.ts": 5, "x.js": 9000}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n" * (size // 6))
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1000")
+    try:
+        files = tree.source_files(spark, str(tmp_path))
+        got = {r.file_path.removeprefix(str(tmp_path)): r.content for r in files.collect()}
+        assert set(got) == {"/a b/ok.py", "/big.py"} and got["/big.py"] is None and got["/a b/ok.py"].startswith("x = 1")
+        report = fa.parse_report(fa.syntax_facts(files)).first()
+        assert (report.parsed, report.failed) == (1, 1)
+    finally:
+        spark.conf.set(limit, before)
