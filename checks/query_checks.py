@@ -266,20 +266,34 @@ def g23(t):
 ARCH_REQ = "SELECT query_id, repo_hash, CASE query_id % 3 WHEN 0 THEN cluster_id WHEN 1 THEN 'c:unknown' ELSE NULL END AS cluster_id, path FROM fx_requests"
 
 
+def shaped(clusters):
+    """Stored clusters with a code shape."""
+    return clusters.withColumns({"patterns": F.array(F.concat(c("n_files"), F.lit(" files"))), "source": F.lit("heuristic")})
+
+
+def shape_text():
+    shape = F.concat(F.array_join("code_shape.patterns", ","), F.lit("|"), c("code_shape.source"))
+    return F.when(c("code_shape").isNotNull(), shape).alias("shape")
+
+
 @check("g24_describe_architecture", f"""
 WITH q AS (SELECT r.query_id, r.repo_hash, coalesce(r.cluster_id, f.cluster_id) AS cid FROM ({ARCH_REQ}) r LEFT JOIN fx_files f ON f.repo_hash = r.repo_hash AND f.file_path = r.path)
-SELECT q.query_id, k.cluster_id, coalesce(k.role_description, '') AS role, k.naming_convention AS naming, coalesce(k.n_files, 0) AS n_members FROM q LEFT JOIN fx_clusters k ON k.repo_hash = q.repo_hash AND k.cluster_id = q.cid""")
+SELECT q.query_id, k.cluster_id, coalesce(k.role_description, '') AS role, k.naming_convention AS naming, CASE WHEN k.cluster_id IS NOT NULL THEN concat(k.n_files, ' files|heuristic') END AS shape,
+  coalesce((SELECT string_agg(d.target_cluster_id, ',' ORDER BY d.target_cluster_id) FROM fx_cluster_deps d WHERE d.repo_hash = q.repo_hash AND d.source_cluster_id = k.cluster_id AND d.kind = 'allowed'), '') AS allowed,
+  coalesce((SELECT string_agg(d.target_cluster_id, ',' ORDER BY d.target_cluster_id) FROM fx_cluster_deps d WHERE d.repo_hash = q.repo_hash AND d.source_cluster_id = k.cluster_id AND d.kind = 'forbidden'), '') AS forbidden,
+  coalesce(k.n_files, 0) AS n_members FROM q LEFT JOIN fx_clusters k ON k.repo_hash = q.repo_hash AND k.cluster_id = q.cid""")
 def g24(t):
-    out = lookups.describe_architecture(t.sql(ARCH_REQ), t.files, t.clusters, t.cluster_deps)
-    return out.select("query_id", "cluster_id", "role", "naming", "n_members")
+    out = lookups.describe_architecture(t.sql(ARCH_REQ), t.files, shaped(t.clusters), t.cluster_deps)
+    return out.select("query_id", "cluster_id", "role", "naming", shape_text(), *[F.array_join(n, ",").alias(n) for n in ("allowed", "forbidden")], "n_members")
 
 
 @check("g25_regions", """
-SELECT k.repo_hash, k.cluster_id, k.role_description AS role, coalesce(string_agg(CASE WHEN kind = 'allowed' THEN target_cluster_id END, ',' ORDER BY target_cluster_id), '') AS allowed,
+SELECT k.repo_hash, k.cluster_id, k.role_description AS role, concat(any_value(k.n_files), ' files|heuristic') AS shape, coalesce(string_agg(CASE WHEN kind = 'allowed' THEN target_cluster_id END, ',' ORDER BY target_cluster_id), '') AS allowed,
   coalesce(string_agg(CASE WHEN kind = 'forbidden' THEN target_cluster_id END, ',' ORDER BY target_cluster_id), '') AS forbidden
 FROM fx_clusters k LEFT JOIN fx_cluster_deps d ON d.repo_hash = k.repo_hash AND d.source_cluster_id = k.cluster_id GROUP BY ALL""")
 def g25(t):
-    out = lookups.regions(t.clusters, t.cluster_deps).drop("naming")
+    out = lookups.regions(shaped(t.clusters), t.cluster_deps).drop("naming")
+    out = out.withColumn("shape", shape_text()).drop("code_shape")
     return out.withColumns({n: F.array_join(n, ",") for n in ("allowed", "forbidden")})
 
 

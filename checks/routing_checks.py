@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators import context, lookups, routing, scopes, search
 
-from .query_checks import BUNDLE, NARROW, TRACE, FLOW_NODES, index_of
+from .query_checks import BUNDLE, FLOW_NODES, INV_AT, INV_REQ, NARROW, TRACE, index_of
 from .registry import check
 
 c = F.col
@@ -196,3 +196,22 @@ SELECT DISTINCT a.query_id FROM a JOIN sf ON sf.scope_id = a.scope_id WHERE sf.f
 def s7(t):
     _, files, _ = resolved(t)
     return scopes.path_inside(t.sql(ADMIT).where("path IS NOT NULL"), files)
+
+
+@check("h12_compact_invariants", f"""
+WITH q AS ({INV_REQ}), a AS ({INV_AT}), found AS (
+  SELECT q.query_id, a.invariant_id, a.confidence FROM q JOIN a ON a.repo_hash = q.repo_hash AND a.qualified_name = q.symbol WHERE a.confidence >= q.min_confidence
+  UNION ALL SELECT q.query_id, a.invariant_id, a.confidence FROM q JOIN a ON a.repo_hash = q.repo_hash AND a.cluster_id = q.cluster_id WHERE q.symbol IS NULL AND a.confidence >= q.min_confidence),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, invariant_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM found)
+SELECT query_id, invariant_id, rank, greatest(0, n - 8) AS cut FROM ranked WHERE rank <= 8""")
+def h12_invariants(t):
+    rows = lookups.find_invariants(t.sql(INV_REQ), t.symbols, t.files, t.invariants)
+    return routing.compact_rows(rows, [F.desc("confidence"), c("invariant_id")], 8).select("query_id", "invariant_id", "rank", "cut")
+
+
+@check("h12_compact_traces", f"""
+WITH {TRACE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY flow_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM hit)
+SELECT query_id, flow_id, rank, greatest(0, n - 5) AS cut FROM ranked WHERE rank <= 5""")
+def h12_traces(t):
+    rows = lookups.trace_flows(t.requests, t.symbols, t.flows)
+    return routing.compact_rows(rows, [c("flow_id")], 5).select("query_id", "flow_id", "rank", "cut")

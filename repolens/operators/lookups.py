@@ -62,8 +62,16 @@ def member_symbols(requests: DataFrame, files: DataFrame, symbols: DataFrame) ->
     return symbols.join(inside, ["repo_hash", "file_path"])
 
 
+CODE_SHAPE = "struct<patterns:array<string>,source:string>"
+
+
 def regions(clusters: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Region of each cluster with its allowed and forbidden targets."""
+    """Region of each cluster: conventions (naming, code shape) and its allowed and forbidden targets.
+
+    `code_shape` is null for clusters that were stored without patterns.
+    """
+    shaped = {"patterns", "source"} <= set(clusters.columns)
+    shape = F.struct("patterns", "source") if shaped else F.lit(None)
     targets = dependencies.where("target_cluster_id IS NOT NULL").groupBy("repo_hash", c("source_cluster_id").alias("cluster_id")).agg(
         F.sort_array(F.collect_list(F.when(c("kind") == "allowed", c("target_cluster_id")))).alias("allowed"),
         F.sort_array(F.collect_list(F.when(c("kind") == "forbidden", c("target_cluster_id")))).alias("forbidden"),
@@ -71,6 +79,7 @@ def regions(clusters: DataFrame, dependencies: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     return clusters.join(targets, ["repo_hash", "cluster_id"], "left").select(
         "repo_hash", "cluster_id", F.coalesce("role_description", F.lit("")).alias("role"), c("naming_convention").alias("naming"),
+        shape.cast(CODE_SHAPE).alias("code_shape"),
         F.coalesce("allowed", empty).alias("allowed"), F.coalesce("forbidden", empty).alias("forbidden"),
     )
 
@@ -89,7 +98,7 @@ def describe_architecture(requests: DataFrame, files: DataFrame, clusters: DataF
     return found.join(sizes, ["repo_hash", "cluster_id"], "left").select(
         "query_id", "repo_hash",
         F.when(c("role").isNotNull(), c("cluster_id")).alias("cluster_id"),
-        F.coalesce("role", F.lit("")).alias("role"), "naming",
+        F.coalesce("role", F.lit("")).alias("role"), "naming", "code_shape",
         F.coalesce("allowed", empty).alias("allowed"), F.coalesce("forbidden", empty).alias("forbidden"),
         F.when(c("role").isNotNull(), F.coalesce("n_members", F.lit(0))).otherwise(0).cast("bigint").alias("n_members"),
     )

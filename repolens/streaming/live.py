@@ -29,33 +29,59 @@ def subscribe(events: DataFrame, repo_hash: str) -> DataFrame:
     return events.where(F.col("repo_hash") == repo_hash)
 
 
+#: Parts of a merged table; a batch rewrites only the parts that its keys fall into.
+BUCKETS = 64
+
+
+def _with_bucket(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+
+
+def _file_system(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Committed versions of each bucket, oldest first."""
+    found: dict[int, list[int]] = {}
+    fs, new_path = _file_system(spark, target), spark._jvm.org.apache.hadoop.fs.Path
+    for part in fs.globStatus(new_path(f"{target}/version=*/bucket=*")) or []:
+        path = part.getPath()
+        if fs.exists(new_path(path.getParent(), "_SUCCESS")):
+            found.setdefault(int(path.getName().split("=")[1]), []).append(int(path.getParent().getName().split("=")[1]))
+    return {bucket: sorted(v) for bucket, v in found.items()}
+
+
 def merge_sink(target: str, keys: list[str], fold: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` writer keeping a folded table in versioned folders.
+    """`foreachBatch` writer keeping a folded table in buckets of its keys.
 
-    A batch merges the last version with its rows and writes `version=<batch>`; a batch that is repeated after a
-    failure rewrites the same folder, so the result is the same.
+    A batch merges the newest earlier version of the buckets it touches with its rows and writes them to
+    `version=<batch>`; other buckets stay as they are. A batch that is repeated after a failure starts from the same
+    earlier version, which is why the last two versions of a bucket are kept and older ones are deleted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        older = [int(n.split("=")[1]) for n in done if n.startswith("version=") and int(n.split("=")[1]) < batch_id]
-        rows = batch
-        if older:
-            rows = spark.read.schema(batch.schema).parquet(f"{target}/version={max(older)}").unionByName(batch)
-        fold(rows).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        touched = [r.bucket for r in _with_bucket(batch, keys).select("bucket").distinct().collect()]
+        if not touched:
+            return
+        versions = _versions(spark, target)
+        before = {b: [v for v in versions.get(b, []) if v < batch_id] for b in touched}
+        older = [f"{target}/version={v[-1]}/bucket={b}" for b, v in before.items() if v]
+        rows = spark.read.schema(batch.schema).parquet(*older).unionByName(batch) if older else batch
+        _with_bucket(fold(rows), keys).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
+        fs = _file_system(spark, target)
+        for b, v in before.items():
+            for version in v[:-1]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={version}/bucket={b}"), True)
 
     return write
 
 
 def read_merged(spark: SparkSession, target: str) -> DataFrame:
-    """Newest version of a merged table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    newest = max(int(n.split("=")[1]) for n in names if n.startswith("version="))
-    return spark.read.parquet(f"{target}/version={newest}")
+    """The newest version of every bucket of a merged table."""
+    return spark.read.parquet(*[f"{target}/version={v[-1]}/bucket={b}" for b, v in sorted(_versions(spark, target).items())])
 
 
 def latest_by(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
