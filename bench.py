@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from checks.registry import QUERIES
 import checks.catalog  # noqa: F401
+from repolens.operators.search import SearchTables
 from repolens.session import build_session
 
 HEADLINE = (
@@ -15,6 +17,11 @@ HEADLINE = (
     "d17_heuristic_annotation", "d23_cluster_dependencies", "e4_resolved_calls", "e14_capped", "f7_co_change", "f12_symbol_signals",
     "g3_text_search", "g14_trace_data_flow", "g18_find_invariants", "g24_describe_architecture", "g26_find_exemplars",
     "g13_find_relevant_context", "p1_symbol_projection", "u12_packages", "t10_folded_activity",
+    "c6_bounded_paths", "c9_capped_flows", "c10_flow_stats", "c11_all_flows", "f3_pagerank", "u5_graph_layers",
+)
+INPUTS = (
+    "symbols", "refs", "files", "clusters", "cluster_deps", "invariants", "candidates", "requests", "query_vectors", "embeddings", "commits",
+    "source_files", "flows",
 )
 
 
@@ -22,14 +29,24 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
     spark = build_session("bench", master=f"local[{cpus}]")
-    # Derived input tables are built once, as stored index tables would be; they are reported apart.
-    from checks.views import Tables
+    # Derived input tables are written once, as stored index tables would be, and read as Parquet by every query.
+    from checks import views
 
     start = time.time()
-    tables = Tables(spark, sf_dir)
-    for name in ("symbols", "refs", "files", "clusters", "cluster_deps", "invariants", "candidates", "requests", "query_vectors", "embeddings", "commits", "source_files"):
-        getattr(tables, name).count()
-    tables.flows.count()
+    folder = tempfile.mkdtemp(prefix="repolens-bench-")
+    tables = views.Tables(spark, sf_dir)
+    for name in INPUTS:
+        getattr(tables, name)  # registers the views below it
+    for key, view in views._BUILT.items():
+        view.write.parquet(f"{folder}/{key[-1]}")
+    for key, view in list(views._BUILT.items()):
+        view.unpersist()
+        views._BUILT[key] = spark.read.parquet(f"{folder}/{key[-1]}")
+    stored = {}
+    for name, table in vars(SearchTables.of(tables.symbols)).items():
+        table.write.parquet(f"{folder}/search_{name}")
+        stored[name] = spark.read.parquet(f"{folder}/search_{name}")
+    views._BUILT[(spark.sparkContext.applicationId, sf_dir, "search_tables")] = SearchTables(**stored)
     inputs = time.time() - start
     seconds = {}
     for name in HEADLINE:

@@ -103,7 +103,7 @@ ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 def index_of(t):
     return context.Index(
         t.symbols, t.refs, t.files, t.clusters, t.cluster_deps, t.flows, t.invariants,
-        ranking.symbol_signals(t.symbols, t.refs, t.files, AS_OF, "degree"), t.embeddings)
+        ranking.symbol_signals(t.symbols, t.refs, t.files, AS_OF, "degree"), t.embeddings, t.search_tables)
 
 
 def ranked_of(t):

@@ -265,6 +265,17 @@ class Tables:
             raise AttributeError(name)
         return self.view(f"fx_{name}")
 
+    @property
+    def search_tables(self):
+        """Index tables of the search, built once in a session."""
+        from repolens.operators.search import SearchTables
+
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "search_tables")
+        if key not in _BUILT:
+            found = SearchTables.of(self.symbols)
+            _BUILT[key] = SearchTables(found.names.persist(), found.words.persist(), found.grams.persist())
+        return _BUILT[key]
+
     @property
     def flows(self):
         """Stored flows with the intermediates as an array."""

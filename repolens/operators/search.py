@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,31 +69,55 @@ def token_table(numbered: DataFrame) -> DataFrame:
     return words.groupBy("repo_hash", "token", "position").agg(F.count("*").alias("hits"))
 
 
-def text_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
+def gram_table(symbols: DataFrame) -> DataFrame:
+    """Substrings of one to three characters of each name, any case."""
+    name = F.lower("qualified_name")
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
+            lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(name, i, n)),
+        )
+    )
+    return symbols.select("repo_hash", "symbol_id", "qualified_name", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+@dataclass
+class SearchTables:
+    """Index tables of the search; `build_index` writes them, so a query neither numbers nor cuts the symbols."""
+
+    names: DataFrame
+    words: DataFrame
+    grams: DataFrame
+
+    @classmethod
+    def of(cls, symbols: DataFrame) -> SearchTables:
+        names = numbered_symbols(symbols)
+        return cls(names, token_table(names), gram_table(symbols))
+
+
+def text_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES, tables: SearchTables | None = None) -> DataFrame:
     """Whole-word OR search, best first: `(query_id, repo_hash, symbol_id, hits, rank)`.
 
-    Each distinct set of words meets the token table once, under a number of its own (frozen, so it is
-    stable). The wide middle part carries three numbers a row; the rank filter prunes in the map tasks;
-    only kept rows get their symbol back and fan out to the requests that asked for them.
+    Each distinct set of words of a repository meets the word table once, under a hash of the words. The wide middle
+    part carries short rows; the rank filter prunes in the map tasks; only kept rows get their symbol back and fan
+    out to the requests that asked for them.
     """
+    stored = tables or SearchTables.of(symbols)
     terms = F.array_sort(F.array_distinct(text.search_tokens(c("search"))))
-    asked = searches.select("query_id", "repo_hash", terms.alias("terms"))
-    once = cut_lineage(asked.select("repo_hash", "terms").distinct().withColumn("search_id", F.monotonically_increasing_id()))
-    numbered = numbered_symbols(symbols)
+    asked = searches.select("query_id", "repo_hash", terms.alias("terms")).withColumn("search_id", F.xxhash64("terms"))
+    once = asked.select("repo_hash", "search_id", "terms").distinct()
     matched = (
         once.select("search_id", "repo_hash", F.explode("terms").alias("token"))
-        .join(token_table(numbered), ["repo_hash", "token"])
-        .groupBy("search_id", "position")
+        .join(stored.words, ["repo_hash", "token"])
+        .groupBy("repo_hash", "search_id", "position")
         .agg(F.sum("hits").alias("hits"))
     )
-    best = top_rows(matched, ["search_id"], [F.desc("hits"), c("position")], limit)
-    named = best.join(once.select("search_id", "repo_hash"), "search_id").join(
-        numbered.select("repo_hash", "position", "symbol_id"), ["repo_hash", "position"])
-    who = asked.join(once, ["repo_hash", "terms"]).select("query_id", "repo_hash", "search_id")
-    return who.join(named.drop("repo_hash", "position"), "search_id").select("query_id", "repo_hash", "symbol_id", "hits", "rank")
+    best = top_rows(matched, ["repo_hash", "search_id"], [F.desc("hits"), c("position")], limit)
+    named = best.join(stored.names.select("repo_hash", "position", "symbol_id"), ["repo_hash", "position"])
+    return asked.drop("terms").join(named.drop("position"), ["repo_hash", "search_id"]).select("query_id", "repo_hash", "symbol_id", "hits", "rank")
 
 
-def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
+def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES, tables: SearchTables | None = None) -> DataFrame:
     """Names containing the first word of the search, any case.
 
     Names are cut in all substrings of three characters; a word is looked up by its first three, so no
@@ -100,37 +126,32 @@ def substring_search(searches: DataFrame, symbols: DataFrame, limit: int = TOP_C
     first = F.lower(F.coalesce(F.try_element_at(F.split(F.trim("search"), r"\s+"), F.lit(1)), F.lit("")))
     asked = searches.select("query_id", "repo_hash", first.alias("word")).where("word <> ''")
     once = asked.select("repo_hash", "word").distinct().withColumn("gram", F.substring("word", 1, 3))
-    name = F.lower("qualified_name")
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
-            lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(name, i, n)),
-        )
-    )
-    table = symbols.select("repo_hash", "symbol_id", "qualified_name", F.explode(F.array_distinct(grams)).alias("gram"))
+    table = tables.grams if tables else gram_table(symbols)
     hits = once.join(table, ["repo_hash", "gram"]).where(F.lower("qualified_name").contains(c("word")))
     best = top_rows(hits.select("repo_hash", "word", "symbol_id", "qualified_name"), ["repo_hash", "word"],
                     [c("qualified_name"), c("symbol_id")], limit)
     return asked.join(best, ["repo_hash", "word"]).select("query_id", "repo_hash", "symbol_id", "rank")
 
 
-def search_with_fallback(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES) -> DataFrame:
+def search_with_fallback(searches: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES, tables: SearchTables | None = None) -> DataFrame:
     """Word search; requests it leaves empty are answered by the substring search.
 
     The hits are frozen: they are read twice here, and a search is the dearest step of a query.
     """
-    words = cut_lineage(text_search(searches, symbols, limit).select("query_id", "repo_hash", "symbol_id"))
+    words = cut_lineage(text_search(searches, symbols, limit, tables).select("query_id", "repo_hash", "symbol_id"))
     missed = searches.join(words.select("query_id").distinct(), "query_id", "left_anti")
-    return words.unionByName(substring_search(missed, symbols, limit).drop("rank"))
+    return words.unionByName(substring_search(missed, symbols, limit, tables).drop("rank"))
 
 
-def candidates(tasks: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES, vector_hits: DataFrame | None = None) -> DataFrame:
+def candidates(
+    tasks: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES, vector_hits: DataFrame | None = None, tables: SearchTables | None = None
+) -> DataFrame:
     """Candidate symbols `(query_id, repo_hash, symbol_id)` of each task.
 
     Search hits and the seed symbol (and vector hits when given); a task with none gets the first symbols
     of its repository.
     """
-    found = search_with_fallback(search_terms(tasks), symbols, limit)
+    found = search_with_fallback(search_terms(tasks), symbols, limit, tables)
     if "seed_symbol" in tasks.columns:
         seeds = tasks.select("query_id", "repo_hash", c("seed_symbol").alias("qualified_name")).join(
             symbols.select("repo_hash", "qualified_name", "symbol_id"), ["repo_hash", "qualified_name"]
@@ -138,7 +159,7 @@ def candidates(tasks: DataFrame, symbols: DataFrame, limit: int = TOP_CANDIDATES
         found = found.unionByName(seeds.drop("qualified_name"))
     if vector_hits is not None:
         found = found.unionByName(vector_hits.select("query_id", "repo_hash", "symbol_id"))
-    found = cut_lineage(found.distinct())
+    found = found.distinct()
     left_over = tasks.select("query_id", "repo_hash").join(found.select("query_id").distinct(), "query_id", "left_anti")
     first = top_rows(symbols.select("repo_hash", "qualified_name", "symbol_id"), ["repo_hash"],
                      [c("qualified_name"), c("symbol_id")], limit)

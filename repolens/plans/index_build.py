@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolens.operators import clusters, flows, invariants, symbols
+from repolens.operators import clusters, flows, invariants, search, symbols
 from repolens.session import cut_lineage
 from repolens.sources import facts as fa
 from repolens.sources.tables import write_table
@@ -27,12 +27,16 @@ def build_index(
         rows = clusters.heuristic_annotations(members, numbered)
     else:
         rows = clusters.annotate(members, numbered, cluster_replies)
+    lookup = search.SearchTables.of(numbered)
     texts = numbered.withColumn("_text", symbols.text.embedding_text(F.col("kind"), F.col("qualified_name"), F.col("signature")))
     return {
         "files": files.join(members, ["repo_hash", "file_path"], "left"),
         "symbols": numbered,
         "refs": refs,
         "symbol_embeddings": symbols.embed_texts(texts, "_text", embed).select("repo_hash", "symbol_id", "embedding"),
+        "search_names": lookup.names,
+        "search_words": lookup.words,
+        "search_grams": lookup.grams,
         "flows": flows.build_flows(numbered, refs),
         "clusters": rows,
         "cluster_dependencies": clusters.cluster_dependencies(members, clusters.file_dependencies(numbered, refs)),

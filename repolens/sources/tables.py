@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Tables holding rows of a repository; run tables are kept when a repository is deleted.
 REPO_TABLES = (
     "repos", "files", "symbols", "refs", "symbol_embeddings", "flows", "clusters",
-    "cluster_dependencies", "invariants", "index_jobs",
+    "cluster_dependencies", "invariants", "index_jobs", "search_names", "search_words", "search_grams",
 )
 
 
