@@ -96,9 +96,18 @@ def f9(t):
     return ranking.coverage(t.symbols, t.refs)
 
 
+# Fixed values, written out here and not taken from the engine.
+WEIGHT_ROWS = """
+('modify existing', 'structural_centrality', 0.35), ('modify existing', 'change_recency', 0.10), ('modify existing', 'co_change_correlation', 0.10),
+('modify existing', 'embedding_similarity', 0.35), ('modify existing', 'test_coverage_proxy', 0.10),
+('add new code', 'structural_centrality', 0.15), ('add new code', 'change_recency', 0.30), ('add new code', 'co_change_correlation', 0.30),
+('add new code', 'embedding_similarity', 0.15), ('add new code', 'test_coverage_proxy', 0.10),
+('understand', 'structural_centrality', 0.20), ('understand', 'change_recency', 0.05), ('understand', 'co_change_correlation', 0.05),
+('understand', 'embedding_similarity', 0.60), ('understand', 'test_coverage_proxy', 0.10)"""
+
+
 def weights_sql():
-    rows = ", ".join(f"('{k}', '{n}', {w}::DOUBLE)" for k, v in ranking.WEIGHTS.items() for n, w in zip(ranking.SIGNALS, v))
-    return f"SELECT * FROM (VALUES {rows}) w(task_type, signal, weight)"
+    return f"SELECT task_type, signal, weight::DOUBLE AS weight FROM (VALUES {WEIGHT_ROWS}) w(task_type, signal, weight)"
 
 
 # Signals with the degree form of centrality, which is exact in both engines.
@@ -108,8 +117,11 @@ tc AS (SELECT symbol_id, {SCALE} AS v FROM ({COVERAGE}) d WINDOW w AS (PARTITION
 sig AS (SELECT s.repo_hash, s.symbol_id, s.qualified_name, s.file_path, coalesce(sc.v, 0) AS sc, coalesce(cr.v, 0) AS cr, coalesce(tc.v, 0) AS tc
   FROM fx_symbols s LEFT JOIN sc USING (symbol_id) LEFT JOIN cr USING (symbol_id) LEFT JOIN tc USING (symbol_id))"""
 WEIGHT_CASE = {
-    n: "CASE task_type " + " ".join(f"WHEN '{k}' THEN {v[i]}::DOUBLE" for k, v in ranking.WEIGHTS.items()) + " END"
-    for i, n in enumerate(ranking.SIGNALS)
+    "structural_centrality": "CASE task_type WHEN 'modify existing' THEN 0.35::DOUBLE WHEN 'add new code' THEN 0.15::DOUBLE WHEN 'understand' THEN 0.2::DOUBLE END",
+    "change_recency": "CASE task_type WHEN 'modify existing' THEN 0.1::DOUBLE WHEN 'add new code' THEN 0.3::DOUBLE WHEN 'understand' THEN 0.05::DOUBLE END",
+    "co_change_correlation": "CASE task_type WHEN 'modify existing' THEN 0.1::DOUBLE WHEN 'add new code' THEN 0.3::DOUBLE WHEN 'understand' THEN 0.05::DOUBLE END",
+    "embedding_similarity": "CASE task_type WHEN 'modify existing' THEN 0.35::DOUBLE WHEN 'add new code' THEN 0.15::DOUBLE WHEN 'understand' THEN 0.6::DOUBLE END",
+    "test_coverage_proxy": "CASE task_type WHEN 'modify existing' THEN 0.1::DOUBLE WHEN 'add new code' THEN 0.1::DOUBLE WHEN 'understand' THEN 0.1::DOUBLE END",
 }
 SCORE = (f"({{sc}} * {WEIGHT_CASE['structural_centrality']} + {{cr}} * {WEIGHT_CASE['change_recency']} + {{cc}} * {WEIGHT_CASE['co_change_correlation']}"
          f" + {{es}} * {WEIGHT_CASE['embedding_similarity']} + {{tc}} * {WEIGHT_CASE['test_coverage_proxy']})")

@@ -27,9 +27,9 @@ def symbols_by_id(ids: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def symbols_of_files(requests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols of each requested file, ordered by line."""
+    """Symbols of each requested file; the caller orders them by line where it shows them."""
     wanted = requests.select("repo_hash", c("path").alias("file_path")).distinct()
-    return symbols.join(wanted, ["repo_hash", "file_path"], "left_semi").orderBy("repo_hash", "file_path", "line_start")
+    return symbols.join(wanted, ["repo_hash", "file_path"], "left_semi")
 
 
 def embeddings_of(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -50,10 +50,9 @@ def clusters_by_id(requests: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def member_files(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """Files of the requested clusters, by path."""
+    """Files of the requested clusters."""
     wanted = requests.select("repo_hash", "cluster_id").distinct()
-    return files.join(wanted, ["repo_hash", "cluster_id"], "left_semi").select("repo_hash", "cluster_id", "file_path").orderBy(
-        "repo_hash", "cluster_id", "file_path")
+    return files.join(wanted, ["repo_hash", "cluster_id"], "left_semi").select("repo_hash", "cluster_id", "file_path")
 
 
 def member_symbols(requests: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -185,10 +184,9 @@ def invariant_payloads(invariants: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def invariants_of_symbols(ids: DataFrame, invariants: DataFrame, min_confidence: float = 0.0) -> DataFrame:
-    """Invariants of a set of symbols, most certain first."""
+    """Invariants of a set of symbols, from a confidence on."""
     wanted = ids.select("repo_hash", c("symbol_id").alias("target_symbol_id")).distinct()
-    rows = invariants.where(c("confidence") >= min_confidence).join(wanted, ["repo_hash", "target_symbol_id"], "left_semi")
-    return rows.orderBy("repo_hash", "target_symbol_id", F.desc("confidence"))
+    return invariants.where(c("confidence") >= min_confidence).join(wanted, ["repo_hash", "target_symbol_id"], "left_semi")
 
 
 def invariants_of_files(requests: DataFrame, invariants: DataFrame, symbols: DataFrame, min_confidence: float = 0.0) -> DataFrame:

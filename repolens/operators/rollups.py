@@ -288,4 +288,4 @@ def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def file_list(nodes: DataFrame) -> DataFrame:
-    return nodes.where("file_path IS NOT NULL AND file_path <> ''").select("repo_hash", "file_path").distinct().orderBy("repo_hash", "file_path")
+    return nodes.where("file_path IS NOT NULL AND file_path <> ''").select("repo_hash", "file_path").distinct()

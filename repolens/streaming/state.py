@@ -35,7 +35,7 @@ def index_status(repos: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def jobs_of(repos: DataFrame, jobs: DataFrame) -> DataFrame:
-    return jobs.join(repos.select("repo_hash").distinct(), "repo_hash", "left_semi").orderBy("repo_hash", "layer")
+    return jobs.join(repos.select("repo_hash").distinct(), "repo_hash", "left_semi")
 
 
 def fold_deltas(deltas: DataFrame) -> DataFrame:
@@ -97,8 +97,8 @@ def run_statuses(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def transcripts(steps: DataFrame) -> DataFrame:
-    """Steps of each run in order; a long run stays rows and is never packed into one."""
-    return steps.select("run_id", "step", "role", "text").orderBy("run_id", "step")
+    """Steps of each run, to be read by (run_id, step); a long run stays rows and is never packed into one."""
+    return steps.select("run_id", "step", "role", "text")
 
 
 def newest_runs(runs: DataFrame, limit: int = LISTED_RUNS, status: str | None = None) -> DataFrame:
