@@ -54,7 +54,9 @@ ASIDE_WORDS = frozenset(
     "nav navbar navigation menu menus header masthead topbar toolbar footer foot copyright sidebar sidenav aside rail ad ads advert adverts "
     "advertisement advertising adsense banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs "
-    "pagination pager widget widgets comment comments commentlist disqus respond replies reply form search skip disclaimer legal".split())
+    "pagination pager widget widgets comment comments commentlist disqus respond responses replies reply discussion feedback form search skip disclaimer legal cta".split())
+# Of these, words that also name a layout around the article.
+LAYOUT_WORDS = frozenset("nav navbar navigation menu header masthead topbar toolbar footer sidebar sidenav aside rail search banner widget".split())
 STRONG_WORDS = frozenset("article articlebody articletext post entry story".split())
 WEAK_WORDS = frozenset("content main maintext bodytext text".split())
 NEGATIONS = frozenset("has with without no not is".split())
@@ -64,18 +66,18 @@ CLOSED_BY = {
 }
 
 
-def named(attributes: dict[str, str]) -> tuple[bool, int]:
-    """Whether class, id or role name an aside, and how strongly they name the article (0 to 3)."""
+def named(attributes: dict[str, str]) -> tuple[int, int]:
+    """Whether class, id or role name an aside (1: by a word that may name a layout, 2: surely), and how strongly the article (0 to 3)."""
     role = attributes.get("role", "").lower()
-    aside, level = role in ASIDE_ROLES, 3 if role == "main" or attributes.get("itemprop", "").lower() == "articlebody" else 0
+    aside, level = 2 * (role in ASIDE_ROLES), 3 if role == "main" or attributes.get("itemprop", "").lower() == "articlebody" else 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
-        aside = True
+        aside = 2
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in WORD.findall(name)]
-        if not words or words[0] in NEGATIONS:
+        if not words or not NEGATIONS.isdisjoint(words):
             continue
-        if not ASIDE_WORDS.isdisjoint(words):
-            aside = True
+        if found := ASIDE_WORDS.intersection(words):
+            aside = max(aside, 1 if found <= LAYOUT_WORDS else 2)
         elif not STRONG_WORDS.isdisjoint(words) or "".join(words) in STRONG_WORDS:
             level = max(level, 2)
         elif not WEAK_WORDS.isdisjoint(words):
@@ -86,17 +88,25 @@ def named(attributes: dict[str, str]) -> tuple[bool, int]:
 class Element:
     __slots__ = ("tag", "path", "aside", "level", "inline", "number")
 
-    def __init__(self, tag: str, path: int, aside: bool, level: int, inline: bool, number: int):
+    def __init__(self, tag: str, path: int, aside: int, level: int, inline: bool, number: int):
         self.tag, self.path, self.aside, self.level, self.inline, self.number = tag, path, aside, level, inline, number
 
 
 class Block:
-    """A text block: where it stands, whether in an aside, how strongly in an article, how much of it is links."""
+    """A text block: where it stands, whether in an aside, how strongly in an article, how much of it is links.
 
-    __slots__ = ("text", "token", "aside", "level", "containers", "linked")
+    `apart`: in an aside that lies inside the outermost <article> or <main>, or in one that is no layout.
+    """
+
+    __slots__ = ("text", "token", "aside", "apart", "level", "containers", "linked")
 
-    def __init__(self, text, token, aside, level, containers, linked):
-        self.text, self.token, self.aside, self.level, self.containers, self.linked = text, token, aside, level, containers, linked
+    def __init__(self, text, token, stack, linked):
+        self.text, self.token, self.linked = text, token, linked
+        self.aside = any(e.aside for e in stack)
+        self.level = max(e.level for e in stack)
+        outermost = next((i for i, e in enumerate(stack) if e.level >= 3), len(stack))
+        self.apart = any(e.aside > (i < outermost) for i, e in enumerate(stack))
+        self.containers = [(e.path, e.number) for e in stack if e.tag in CONTAINERS]
 
 
 def hashed(*parts: object) -> int:
@@ -108,7 +118,7 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
     page = page or ""
     tokens: list[int] = []
     blocks: list[Block] = []
-    stack = [Element("", 0, False, 0, False, 0)]
+    stack = [Element("", 0, 0, 0, False, 0)]
     pieces: list[str] = []
     links = at = linked = 0
     size = len(page)
@@ -122,9 +132,7 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
                 path = next(e.path for e in reversed(stack) if not e.inline)
                 token = hashed(path, text) * 2 + 1
                 tokens.append(token)
-                blocks.append(Block(
-                    text, token, any(e.aside for e in stack), max(e.level for e in stack),
-                    [(e.path, e.number) for e in stack if e.tag in CONTAINERS], linked / len(text)))
+                blocks.append(Block(text, token, stack, linked / len(text)))
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -190,13 +198,13 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
                     if stack[depth].tag in limits:
                         break
         raw = m[3] or m[6] or ""
-        aside, level, label = name in ASIDE_TAGS, 4 if name == "article" else 3 if name == "main" else 0, name
+        aside, level, label = 2 * (name in ASIDE_TAGS), 4 if name == "article" else 3 if name == "main" else 0, name
         if raw.strip(" /\n\t\r") and name not in ("html", "body"):
             found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
             if re.search(r"(?:^|\s)hidden(?:\s|/|$)", raw):
                 found["hidden"] = ""
             more, said = named(found)
-            aside, level = aside or more, max(level, said)
+            aside, level = max(aside, more), max(level, said)
             label = f"{name}.{re.sub(r'[0-9]+', '', found.get('class', ''))}#{re.sub(r'[0-9]+', '', found.get('id', ''))}"
         path = stack[-1].path if inline else hashed(next(e.path for e in reversed(stack) if not e.inline), label)
         if name == "a":
@@ -213,10 +221,14 @@ def read_page(page: str | None) -> tuple[list[int], list[Block]]:
 def main_text(page: str | None, frame: frozenset[int] = frozenset(), constant: frozenset[int] = frozenset()) -> str:
     """Article text of a page, given the tag tokens of its host's template and the texts that are boilerplate."""
     _, blocks = read_page(page)
-    open_blocks = [b for b in blocks if not b.aside and b.token not in constant]
+    blocks = [b for b in blocks if b.token not in constant]
+    open_blocks = [b for b in blocks if not b.aside]
+    best = max((b.level for b in open_blocks), default=0)
+    if best < 3 and (wrapped := [b for b in blocks if b.level >= 3 and not b.apart]):
+        # the article stands inside an element that is named like an aside, such as a layout
+        open_blocks, best = wrapped, max(b.level for b in wrapped)
     if not open_blocks:
         return ""
-    best = max(b.level for b in open_blocks)
     if best:
         chosen = [b for b in open_blocks if b.level == best]
     else:

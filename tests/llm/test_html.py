@@ -14,6 +14,8 @@ def test_parts_that_are_no_article_are_left_out():
     assert main_text('<div class="menu">m</div><div class=post><p>aa</p><pre>b\n c</pre><table><tr><td>1<td>2</table></div><p id="newsletterBox">no</p>') == "aa b c 1 2"
     assert main_text("<main><p>x</p></main><div>y</div>") == "x"
     assert main_text("<body><div><a href=1>menu entry</a></div><div><p>long text here</p></div>") == "long text here"
+    assert main_text('<div class="layout-sidebar-right"><article><p>x</p><div class=comments>c</div></article><div class=sidebar>y</div></div>') == "x"
+    assert main_text('<div class="page-with-sidebar"><div class=content><p>x</p></div></div><section id=comments><article>no</article></section>') == "x"
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text("plain < text &lt; <3 <b unclosed") .startswith("plain < text < <3")
     assert main_text("<p>" + "very long text " * 20_000) == ("very long text " * 20_000).strip()
