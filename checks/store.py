@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import paths, text
 from repolens.sources import tables as tb
+from repolens.sources import tree
 
 from .registry import check
 
@@ -217,3 +218,20 @@ def a24(t):
     return tb.layer_counts({
         "symbols": t.symbols, "flows": t.flows, "clusters": t.clusters,
         "cluster_dependencies": t.cluster_deps, "invariants": t.invariants})
+
+
+LISTING = """SELECT page_id, concat(CASE page_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/.cache/' WHEN 2 THEN 'a/__pycache__/b/' WHEN 3 THEN 'src/node_modules_x/' ELSE 'src/' END,
+  'f', CAST(page_id AS STRING), CASE page_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.d.ts' WHEN 3 THEN '.tsx' ELSE '.js' END) AS relative_path FROM pages"""
+
+
+@check("a1_source_files", "SELECT page_id FROM pages WHERE page_id % 7 > 2 AND page_id % 5 IN (0, 1, 3)")
+def a1(t):
+    listed = t.sql(LISTING)
+    return listed.where(~paths.in_pruned_directory(F.col("relative_path")) & paths.is_source_file(F.col("relative_path"))).select("page_id")
+
+
+@check("a2_scan_summary", """
+SELECT count(*) AS seen, count(*) FILTER (WHERE page_id % 5 IN (0, 1, 3)) AS kept, count(*) FILTER (WHERE page_id % 5 = 4) AS skipped_suffix,
+  count(*) FILTER (WHERE page_id % 5 = 2) AS skipped_declaration FROM pages WHERE page_id % 7 > 2""")
+def a2(t):
+    return tree.scan_summary(t.sql(LISTING))
