@@ -10,11 +10,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces kept per worker (about 150 MB); beyond that those seen once are dropped.
-CACHED_PIECES = 600_000
+#: Pieces kept per worker (about 350 MB); beyond that those seen once are dropped.
+CACHED_PIECES = 1_500_000
 #: Longer pieces are encoded each time.
 LONGEST_PIECE = 48
 FIRST = "\ud800"  # cannot occur in a text: marks a piece that has no space before it
@@ -34,6 +35,8 @@ class PieceEncoder:
         self.keep_spaces = keep_spaces
         specials = sorted((t.content, i) for i, t in self.cutting.get_added_tokens_decoder().items() if t.special)
         self.separator, self.separator_id = specials[0]
+        #: In a format without case, ASCII texts are lower-cased first: fewer pieces, same ids.
+        self.caseless = "Lowercase" in str(self.plain.normalizer)
         self.forget()
 
     def forget(self) -> None:
@@ -51,87 +54,96 @@ class PieceEncoder:
             least *= 2
         old, flat, start, size, seen = self.index, self.flat, self.start, self.size, self.seen
         self.forget()
-        for piece, k in old.items():
-            if seen[k] >= least:
-                self.remember(piece, flat[start[k] : start[k] + size[k]])
+        kept = [(piece, k) for piece, k in old.items() if seen[k] >= least]
+        for a, b in slices(len(kept), 10_000):
+            part = kept[a:b]
+            parts = [flat[start[k] : start[k] + size[k]] for _, k in part]
+            self.remember([piece for piece, _ in part], np.concatenate(parts), size[[k for _, k in part]])
 
     def text_of(self, piece: str) -> str:
         if piece[:1] == FIRST:
             return piece[1:]
         return " " + piece if self.keep_spaces else piece
 
-    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of new pieces: many in one call, cut apart at the special token."""
-        texts = [self.text_of(p) for p in pieces]
-        out: list = [None] * len(texts)
-        easy = [i for i, t in enumerate(texts) if "<|" not in t and "|>" not in t]
-        for at in range(0, len(easy), 500):
-            part = easy[at : at + 500]
-            ids = np.asarray(self.cutting.encode(self.separator.join(texts[i] for i in part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) == len(part) - 1:
-                for i, found in zip(part, np.split(ids, cuts)):
-                    out[i] = found[1:] if len(found) and found[0] == self.separator_id else found
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.asarray(self.plain.encode(t, add_special_tokens=False).ids, np.uint32)
-        return out
-
-    def remember(self, piece: str, ids: np.ndarray) -> None:
-        k = len(self.index)
-        if k == len(self.start):
-            self.start, self.size, self.seen = (np.resize(x, 2 * k) for x in (self.start, self.size, self.seen))
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces one after the other, and how many each has: many in one call, cut at the special token."""
+        parts, sizes = [], []
+        for a, b in slices(len(pieces), 500):
+            texts = [self.text_of(p) for p in pieces[a:b]]
+            joined = self.separator.join(texts)
+            if joined.count("<|") == len(texts) - 1 == joined.count("|>"):
+                ids = np.asarray(self.cutting.encode(joined, add_special_tokens=False).ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.separator_id)
+                if len(cuts) == len(texts) - 1:
+                    sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                    parts.append(np.delete(ids, cuts))
+                    continue
+            found = [np.asarray(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            parts += found
+        return (np.concatenate(parts), np.concatenate(sizes)) if sizes else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def remember(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.index), len(pieces)
+        while k + n > len(self.start):
+            self.start, self.size, self.seen = (np.resize(x, 2 * len(x)) for x in (self.start, self.size, self.seen))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.size[k], self.seen[k] = self.used, len(ids), 0
+        self.start[k : k + n], self.size[k : k + n], self.seen[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         self.used += len(ids)
-        self.index[piece] = k
+        self.index.update(zip(pieces, range(k, k + n)))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered pieces one after the other, and the end of each."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def learn(self, missing: list[str]) -> None:
         """Encode unseen pieces; a word with marks behind it is made from the word and the marks."""
-        whole, composed = [], []
-        for piece in missing:
-            head = piece[1:] if piece[:1] == FIRST else piece
-            m = WORD_AND_MARKS.fullmatch(head)
+        whole = [p for p in missing if p[-1:].isalnum()]
+        composed, words, marks = [], [], []
+        for piece in [p for p in missing if not p[-1:].isalnum()]:
+            m = WORD_AND_MARKS.fullmatch(piece[1:] if piece[:1] == FIRST else piece)
             if m and m[1].lower().isalpha():  # lower case of a few letters brings marks with it
-                composed.append((piece, piece[: len(piece) - len(m[2])], FIRST + m[2]))
+                composed.append(piece)
+                words.append(piece[: len(piece) - len(m[2])])
+                marks.append(FIRST + m[2])
             else:
                 whole.append(piece)
-        known = self.index
-        whole = list(dict.fromkeys([*whole, *(p for _, word, marks in composed for p in (word, marks) if p not in known)]))
-        for piece, ids in zip(whole, self.ids_of(whole)):
-            self.remember(piece, ids)
-        for piece, word, marks in composed:
-            a, b = known[word], known[marks]
-            self.remember(piece, np.concatenate([self.flat[self.start[k] : self.start[k] + self.size[k]] for k in (a, b)]))
+        whole = list(dict.fromkeys([*whole, *(p for p in (*words, *marks) if p not in self.index)]))
+        self.remember(whole, *self.ids_of(whole))
+        if composed:
+            index = self.index
+            ids, ends = self.gather(np.array([index[p] for pair in zip(words, marks) for p in pair], np.int64))
+            self.remember(composed, ids, np.diff(np.concatenate([[0], ends[1::2]])))
 
     def pieces(self, text: str) -> list[str]:
-        out = text.split(" ")
+        out = (text.lower() if self.caseless and text.isascii() else text).split(" ")
         out[0] = FIRST + out[0]
         return out
 
-    def odd(self, piece: str) -> bool:
-        """Pieces around which a plain split at spaces may be wrong, or too long to keep."""
-        body = piece[1:] if piece[:1] == FIRST else piece
-        return len(body) > LONGEST_PIECE or self.keep_spaces and (not body or body[0].isspace() or body[-1].isspace())
+    def odd(self, pieces: list[str]) -> set[str]:
+        """Pieces around which a plain split at spaces may be wrong (empty, or with white space at an end), or too long to keep."""
+        if self.keep_spaces:
+            return {p for p in pieces if not p or len(p) > LONGEST_PIECE or p != p.strip()}
+        return {p for p in pieces if len(p) > LONGEST_PIECE}
 
     def alone(self, text: str) -> np.ndarray:
         """Ids of a text with spaces or pieces of an unusual kind, without the cache."""
         cut = SAFE_SPACE.split(text) if self.keep_spaces else [text]
         cut = [FIRST + cut[0], *cut[1:]]
-        short = [p for p in cut if len(p) <= LONGEST_PIECE]
-        self.learn([p for p in dict.fromkeys(short) if p not in self.index])
-        long = [p for p in cut if len(p) > LONGEST_PIECE]
-        found = iter(self.ids_of(long))
+        short = [p for p in dict.fromkeys(cut) if len(p) <= LONGEST_PIECE and p not in self.index]
+        self.learn(short)
         parts = []
         for p in cut:
             if len(p) <= LONGEST_PIECE:
                 k = self.index[p]
                 parts.append(self.flat[self.start[k] : self.start[k] + self.size[k]])
             else:
-                parts.append(next(found))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+                parts.append(self.ids_of([p])[0])
+        return np.concatenate(parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is the empty text."""
@@ -139,22 +151,25 @@ class PieceEncoder:
             self.shrink()
         texts = [t or "" for t in texts]
         cut = [self.pieces(t) for t in texts]
-        missing = set().union(*cut).difference(self.index)
-        odd = {p for p in missing if self.odd(p)}
+        every = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(at < 0).tolist()
+        missing = list(dict.fromkeys(every[i] for i in new))
         out: list = [None] * len(texts)
+        odd = self.odd(missing)
         if odd:
             for i, pieces in enumerate(cut):
                 if not odd.isdisjoint(pieces):
                     out[i] = self.alone(texts[i])
                     cut[i] = []
-            missing = set().union(*cut).difference(self.index)
-        self.learn(sorted(missing))
-        every = [p for pieces in cut for p in pieces]
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        sizes = self.size[at]
+            every = list(chain.from_iterable(cut))
+            self.learn(list(dict.fromkeys(p for p in every if p not in self.index)))
+            at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        elif new:
+            self.learn(missing)
+            at[new] = [self.index[every[i]] for i in new]
         self.seen[: len(self.index)] += np.bincount(at, minlength=len(self.index))
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = self.gather(at)
         ends = np.concatenate([[0], ends])
         a = 0
         for i, pieces in enumerate(cut):
