@@ -66,7 +66,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
 def rows_of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is in `ids`, one for each doc_id."""
     ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "kept-ids")
-    chosen = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    # a sort-merge join at every size: the ids grow with the rows, so they are no side to broadcast
+    chosen = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return chosen
