@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +36,44 @@ THRESHOLD = 0.5
 BUCKETS = 1 << 17
 SIZE = 8
 NGRAMS = (3, 4, 5)
-CACHED_WORDS = 400_000
+#: Pieces kept per worker, about 100 bytes each.
+CACHED_WORDS = 1_000_000
 # Marks and digits that stand for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
-RUNS = re.compile(r"(.)\1+")
 
 
-def plain_word(piece: str) -> str:
+def letters(piece: str) -> str:
     """The letters that a reader sees in a piece between spaces."""
-    word = ENDS.sub("", piece.lower())
-    if not word.isalpha():
-        word = INNER.sub("", word.translate(LOOKALIKES))
-    return RUNS.sub(r"\1", word)
-
-
-def features(word: str) -> list[int]:
-    """Hashed n-grams of a plain word; a word of one letter is its own feature."""
-    marked = f"<{word}>"
-    found = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "replace")) & (BUCKETS - 1) for x in found]
+    word = piece.lower().strip(MARKS)
+    if word.isalpha():
+        return word
+    return INNER.sub("", ENDS.sub("", word).translate(LOOKALIKES))
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all words (not empty) at once, and the number of the word of each; repeated letters are one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), "<u4")
+    word = np.repeat(np.arange(len(words)), sizes)
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (word[1:] != word[:-1])
+    codes, word = codes[fresh].astype(np.uint64), word[fresh]
+    ids, owners = [], []
+    for n in NGRAMS:
+        m = len(codes) - n + 1
+        if m <= 0:
+            continue
+        mixed = np.full(m, n, np.uint64)
+        for j in range(n):
+            mixed = (mixed ^ codes[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        inside = word[:m] == word[n - 1 :]
+        ids.append((mixed[inside] >> np.uint64(20)) & np.uint64(BUCKETS - 1))
+        owners.append(word[:m][inside])
+    return np.concatenate(ids).astype(np.int64), np.concatenate(owners)
 
 
 class SubwordModel:
@@ -70,20 +89,18 @@ class SubwordModel:
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and the weight of each in the mean."""
-    words: dict[str, int] = {}
-    for piece in (text or "").split():
-        words[piece] = words.get(piece, 0) + 1
-    ids, weights, n = [], [], 0
-    for piece, times in words.items():
-        if word := plain_word(piece):
-            found = features(word)
-            ids += found
-            weights += [times / len(found)] * len(found)
-            n += times
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    unique, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-    return unique, (np.bincount(at, weights=weights) / n).astype(np.float32)
+    pieces = Counter((text or "").split())
+    counts = Counter()
+    for piece, times in pieces.items():
+        if word := letters(piece):
+            counts[word] += times
+    if not counts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    ids, owners = features(list(counts))
+    times = np.array(list(counts.values()), np.float64)
+    each = times / times.sum() / np.bincount(owners, minlength=len(times))
+    unique, at = np.unique(ids, return_inverse=True)
+    return unique.astype(np.int32), np.bincount(at, weights=each[owners]).astype(np.float32)
 
 
 def least_gram(text: str | None, n: int = 5) -> int:
@@ -125,8 +142,10 @@ def train(
     if n == 0 or positive in (0, n):
         return SubwordModel(np.zeros_like(embeddings), layer, np.array((0, 50) if positive else (50, 0), np.float32))
     bags = [bag(t) for t in once.values()]
-    met = np.bincount(np.concatenate([i for i, _ in bags]), minlength=BUCKETS)
-    met_positive = np.bincount(np.concatenate([i for (i, _), y in zip(bags, labels) if y]), minlength=BUCKETS)
+    met, met_positive = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for (i, _), y in zip(bags, labels):
+        met[i] += 1
+        met_positive[i] += y
     usable = evidence(met, met_positive, n, positive) > least_evidence
     embeddings[~usable] = 0
     bags = [(i[usable[i]], w[usable[i]] * np.float32(gain)) for i, w in bags]
@@ -160,32 +179,41 @@ class Scorer:
     """Scores texts; the margin of each piece is kept, up to a bound."""
 
     def __init__(self, margins: np.ndarray, bias: float):
-        self.margins, self.bias, self.known = margins, bias, {}
+        self.margins, self.bias = margins, bias
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.margin, self.is_word = np.zeros(1 << 14), np.zeros(1 << 14)
 
     def learn(self, pieces: list[str]) -> None:
-        words = [plain_word(p) for p in pieces]
-        found = [features(w) if w else [0] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        means = np.add.reduceat(self.margins[flat], starts) / sizes
+        k = len(self.index)
+        while k + len(pieces) > len(self.margin):
+            self.margin, self.is_word = np.resize(self.margin, 2 * len(self.margin)), np.resize(self.is_word, 2 * len(self.is_word))
+        self.index.update(zip(pieces, range(k, k + len(pieces))))
+        words = [letters(p) for p in pieces]
+        found = np.array([bool(w) for w in words])
+        mean = np.zeros(len(words))
+        if found.any():
+            ids, owners = features([w for w in words if w])
+            mean[found] = np.bincount(owners, weights=self.margins[ids]) / np.bincount(owners)
         # a piece without a letter does not count as a word
-        self.known.update(zip(pieces, zip(means.tolist(), [float(bool(w)) for w in words])))
+        self.margin[k : k + len(pieces)], self.is_word[k : k + len(pieces)] = mean, found
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
+        if len(self.index) > CACHED_WORDS:
+            self.forget()
         cut = [(t or "").split() for t in texts]
-        if missing := set().union(*cut).difference(self.known):
-            self.learn(list(missing))
-        known = self.known
-        out = np.empty(len(cut))
-        for i, pieces in enumerate(cut):
-            pairs = np.array([known[p] for p in pieces]).reshape(-1, 2)
-            n = pairs[:, 1].sum()
-            margin = self.bias + (float((pairs[:, 0] * pairs[:, 1]).sum() / n) if n else 0.0)
-            out[i] = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
-        return out
+        every = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.learn(list(dict.fromkeys(every[i] for i in new)))
+            at[new] = [self.index[every[i]] for i in new]
+        owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        total = np.bincount(owner, weights=self.margin[at], minlength=len(cut))
+        n = np.bincount(owner, weights=self.is_word[at], minlength=len(cut))
+        return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(n, 1), -60, 60)))
 
 
 def held_out() -> Column:

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from repolens.llm.toxicity import MAX_ROWS, Scorer, clean_documents, labelled_rows, plain_word, toxicity, train
+from repolens.llm.toxicity import MAX_ROWS, Scorer, clean_documents, features, labelled_rows, letters, toxicity, train
 
 BAD = ["idiot", "moron", "worthless", "disgusting", "pathetic"]
 
@@ -37,7 +37,9 @@ def test_learns_words_and_their_misspellings_in_spite_of_wrong_labels(spark):
     clean = rows[2][1]
     scores = tool.scores([clean, clean + " idiiot m0ron wortless disgustingg", None, "", "??? !!!"])
     assert scores[0] < 0.5 < scores[1] and scores[2] == scores[3] == scores[4]
-    assert plain_word("(M0RRON!!)") == plain_word("moron") == "moron"
+    assert letters("(M0RON!!)") == "moron"
+    ids, owners = features(["moron", "morron", "a", "Moron".lower()])
+    assert ids[owners == 0].tolist() == ids[owners == 1].tolist() == ids[owners == 3].tolist() and (owners == 2).sum() == 1
 
 
 def test_training_rows_are_bounded_and_never_held_out(spark, odd_docs):
