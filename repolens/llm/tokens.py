@@ -14,8 +14,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces kept per worker (about 350 MB); beyond that those seen once are dropped.
-CACHED_PIECES = 1_500_000
+#: Pieces kept per worker (about 250 MB); beyond that those seen once are dropped.
+CACHED_PIECES = 1_000_000
 #: Longer pieces are encoded each time.
 LONGEST_PIECE = 48
 FIRST = "\ud800"  # cannot occur in a text: marks a piece that has no space before it
