@@ -5,14 +5,15 @@ The index is a table bucketed and sorted by the digest of the normalised text (a
 are found with a sort-merge anti-join that moves the batch alone, and those are appended. The row that stays for
 a digest is the one that the index holds, else the row of the batch with the most code points, then the smallest
 doc_id. Null text counts as empty; a null doc_id loses against any other. Rows that share doc_id and digest all
-count in `group_size`; `distinct_documents` keeps one of them.
+count in `group_size`; `distinct_documents` keeps one of them. It carries the decision by digest, never by doc_id
+alone: rows with null or shared ids and different texts all stay.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, join_spread, new_path, shuffle_width, stored
@@ -20,11 +21,15 @@ from .common import SPACES, join_spread, new_path, shuffle_width, stored
 INDEX = "digest string, keep_id long, n_chars int"
 
 
+def digest_of(text: str) -> Column:
+    return F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, ""), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, digest) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n_chars"), F.sha2(F.translate(text, SPACES, ""), 256).alias("digest"))
+        F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("n_chars"), digest_of("text").alias("digest"))
 
 
 class DigestIndex:
@@ -46,13 +51,21 @@ class DigestIndex:
         found.select("digest", "keep_id", "n_chars").repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
+    def groups(self, rows: DataFrame) -> DataFrame:
+        """(digest, group_size, best) of the digests of a batch."""
+        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order")))
+        return rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
+
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """(digest, keep_id, n_chars) of the digests that the index does not hold."""
+        found = groups.join(self.rows().hint("merge"), "digest", "left_anti")
+        return found.select("digest", (-F.col("best.order")).alias("keep_id"), F.col("best.n_chars").alias("n_chars"))
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Append the new digests of a batch; (doc_id, keep_id, group_size, kept, text_sha256) of every row of it."""
         rows = stored(digests(batch), "digests")
-        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order")))
-        groups = stored(rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best")), "digest-groups")
-        fresh = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        self.append(fresh.select("digest", (-F.col("best.order")).alias("keep_id"), F.col("best.n_chars").alias("n_chars")))
+        groups = stored(self.groups(rows), "digest-groups")
+        self.append(self.fresh(groups))
         held = groups.select("digest", "group_size").join(self.rows().select("digest", "keep_id").hint("merge"), "digest")
         return join_spread(rows, held, "digest", groups.select("digest", "group_size").withColumnRenamed("group_size", "n"), "n", "doc_id").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -63,21 +76,31 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     return (index or DigestIndex(docs.sparkSession)).add(docs)
 
 
-def rows_of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids`, one for each doc_id."""
-    ids = stored(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "kept-ids")
-    # a sort-merge join at every size: the ids grow with the rows, so they are no side to broadcast
-    chosen = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+def chosen_rows(docs: DataFrame, digest: Column, chosen: DataFrame) -> DataFrame:
+    """The row of `docs` for each (doc_id, n_chars, digest) of `chosen`, whose digests are distinct.
+
+    Of rows that share all three the one whose columns are largest stays.
+    """
+    chosen = stored(chosen.select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("digest").alias("_key")), "chosen")
+    keys = {"_digest": digest, "_length": F.length(F.coalesce("text", F.lit("")))}
+
+    def among(rows: DataFrame) -> DataFrame:
+        # a sort-merge join at every size: the keys grow with the rows, so they are no side to broadcast
+        same = (F.col("_digest") == F.col("_key")) & (F.col("_length") == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        return rows.join(chosen.hint("merge"), same, "left_semi")
+
+    found = among(docs.withColumns(keys))
+    counts = docs.select("doc_id", "text").withColumns(keys).groupBy("doc_id", "_length", "_digest").agg(F.count("*").alias("_copies"))
+    repeated = stored(among(counts.where("_copies > 1")).select("_digest"), "repeated-rows")
     if repeated.isEmpty():
-        return chosen
-    repeated = stored(repeated, "repeated-ids").withColumnRenamed("doc_id", "repeated_id")
-    same = F.col("doc_id").eqNullSafe(F.col("repeated_id"))
-    twice = chosen.join(repeated, same, "left_semi")
-    once = twice.groupBy("doc_id").agg(F.max(F.struct(F.length(F.coalesce("text", F.lit(""))).alias("_length"), *[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return chosen.join(repeated, same, "left_anti").unionByName(once.select("doc_id", "row.*").drop("_length").select(*docs.columns))
+        return found.select(*docs.columns)
+    once = found.join(repeated, "_digest", "left_semi").groupBy("_digest").agg(F.max(F.struct(*docs.columns)).alias("_row"))
+    return found.join(repeated, "_digest", "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
 
 
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of `docs` that stay, all columns: one for each digest that is new to the index."""
-    return rows_of_ids(docs, exact_duplicates(docs, index).where("kept"))
+    index = index or DigestIndex(docs.sparkSession)
+    fresh = stored(index.fresh(index.groups(digests(docs))), "fresh-digests")
+    index.append(fresh)
+    return chosen_rows(docs, digest_of("text"), fresh.withColumnRenamed("keep_id", "doc_id"))

@@ -16,7 +16,7 @@ Null text is the empty text (fingerprint 0); rows with null doc_id belong to the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from repolens.operators.graphs import connected_components
 
 from .common import join_spread, shuffle_width, stored
+from .exact_dedup import chosen_rows
 from .tokens import slices
 
 BUDGET = 3
@@ -57,15 +58,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, more): the bits as a signed long, and columns that go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return read.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} {read.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def block_masks(levels: int) -> list[list[tuple[int, int]]]:
@@ -203,16 +205,38 @@ def linked_entries(entries: DataFrame, budget: int = BUDGET, trie_size: int = TR
     return placed.select("trie", "fp").mapInArrow(run, "fp long, other long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links) of every row; `n_links`: trie links of its fingerprint, 0 if it has none."""
-    rows = stored(fingerprints(docs, width), "fingerprints")
-    entries = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "entries")
+def classes_of(entries: DataFrame, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(fp, component) of the linked entries and the links (fp, other) that make them."""
     links = stored(linked_entries(entries, budget, trie_size).where("fp <> other").distinct(), "links")
     ends = links.select("fp").union(links.select("other"))
     parts = connected_components(
         ends.distinct().select(F.lit("").alias("repo_hash"), F.col("fp").alias("node")),
         links.select(F.lit("").alias("repo_hash"), F.col("fp").alias("a"), F.col("other").alias("b")),
     ).select(F.col("node").alias("fp"), "component")
+    return parts, links
+
+
+def distinct_documents(docs: DataFrame, width: int = 3, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
+    """One row of each class, all columns: the smallest doc_id (null last), of its texts the longest, then the smallest SHA-256."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(text, 256)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.length(text).alias("n_chars"), digest.alias("digest"))
+    rows = stored(fingerprints(keyed, width, ["n_chars", "digest"]), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (-F.col("n_chars")).alias("order"), "digest"))
+    entries = stored(rows.groupBy("fp").agg(first.alias("first")), "entries")
+    parts = stored(classes_of(entries, budget, trie_size)[0], "parts")
+    linked = entries.join(parts, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first")
+    alone = entries.join(parts, "fp", "left_anti").select("first")
+    chosen = linked.unionByName(alone).select("first.doc_id", (-F.col("first.order")).alias("n_chars"), "first.digest")
+    return chosen_rows(docs, digest, chosen)
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_links) of every row; `n_links`: trie links of its fingerprint, 0 if it has none."""
+    rows = stored(fingerprints(docs, width), "fingerprints")
+    entries = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "entries")
+    parts, links = classes_of(entries, budget, trie_size)
+    ends = links.select("fp").union(links.select("other"))
     degree = ends.groupBy("fp").agg(F.count("*").alias("n_links"))
     known = stored(entries.join(parts, "fp").join(degree, "fp"), "linked")
     smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -46,3 +46,24 @@ def test_hot_digest_is_dealt_over_tasks(spark):
     got = exact_duplicates(docs)
     assert got.where("kept").count() == 1 + docs.where("text <> 'same text'").count()
     assert got.where("NOT kept").selectExpr("max(keep_id)", "min(keep_id)", "max(group_size)").first() == (0, 0, docs.where("text = 'same text'").count())
+
+
+def test_rows_with_null_or_shared_ids_all_stay(spark):
+    schema = "doc_id long, text string, note string"
+    rows = [
+        (None, "first", "a"), (None, "second one", "b"), (None, "third", "c"), (None, "third", "c"),  # null ids, one repeated
+        (8, "short", "a"), (8, "a longer text", "b"), (8, "a longertext", "c"),  # one id, two texts and a copy
+        (5, "kept  A", "a"), (5, "a copy that is longer than A", "b"), (3, "a copy that is longer than A", "c"),
+        (7, "a bc", "a"), (7, "ab c", "b"),  # equal but for the place of a space
+    ]
+    kept = [tuple(r) for r in distinct_documents(spark.createDataFrame(rows, schema)).collect()]
+    want = [rows[i] for i in (0, 1, 2, 4, 5, 7, 9)] + [(7, "ab c", "b")]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
+def test_a_batch_that_comes_again_adds_no_row(spark):
+    docs = spark.createDataFrame([(1, "one"), (None, "two"), (2, "three")], "doc_id long, text string")
+    index = DigestIndex(spark, buckets=2)
+    assert distinct_documents(docs, index).count() == 3
+    more = docs.unionByName(spark.createDataFrame([(None, "four")], docs.schema))
+    assert [tuple(r) for r in distinct_documents(more, index).collect()] == [(None, "four")]

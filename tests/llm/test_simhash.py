@@ -1,10 +1,11 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 import xxhash
 
-from repolens.llm.simhash_trie import block_masks, fingerprint, linked_entries, near_duplicates, tries, walk
+from repolens.llm.simhash_trie import block_masks, distinct_documents, fingerprint, linked_entries, near_duplicates, tries, walk
 
 
 def slow_fingerprint(text, width=3):
@@ -95,3 +96,16 @@ def test_documents(spark, odd_docs, no_docs):
 def test_long_text():
     text = "Wörter Und mehr Words " * 4000
     assert fingerprint(text) == slow_fingerprint(text)
+
+
+def test_one_row_of_each_class_whatever_its_id(spark):
+    words = [f"{a}{b}{c}" for a in "pqrstuv" for b in "aeiou" for c in "lmnrst"]
+    texts = [" ".join(random.Random(i).choices(words, k=40)) for i in range(6)]
+    rows = [
+        (None, texts[0], "a"), (None, texts[1], "b"), (None, texts[2], "c"), (None, texts[2].upper(), "d"),
+        (4, texts[3], "e"), (4, texts[4], "f"), (4, texts[4] + " ", "g"), (4, texts[4] + " ", "g"),
+        (9, texts[5], "h"), (2, texts[5].title(), "i"),
+    ]
+    kept = [tuple(r) for r in distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()]
+    third = min(rows[2:4], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    assert sorted(map(repr, kept)) == sorted(map(repr, [rows[0], rows[1], third, rows[4], rows[6], rows[9]]))
