@@ -2,9 +2,10 @@
 
 Fingerprints: lower-cased words, shingles of `width` words with repeats, XXH64 with seed 42 of each, a bit set if it
 is set in over half of them. Equal fingerprints are one entry. Entries that differ in at most `budget` (3) bits agree
-on at least one of four equal blocks of their bits, so each entry goes to the four tries of its block values. A trie
-with more than `trie_size` entries is split the same way on the bits that are left: pairs in it still agree on one of
-four blocks of those. Sixteen, twelve, nine ... bits go at each level, so after a few levels no trie can be larger.
+on at least one of `budget` + 1 equal blocks of their bits, so each entry goes to the (four) tries of its block values.
+A trie with more than `trie_size` entries is split the same way on the bits that are left: pairs in it still agree on
+one of as many blocks of those. At budget 3 sixteen, twelve, nine ... bits go at each level, so after a few levels no
+trie can be larger.
 
 Inside a trie pairs of nodes are walked down together from the root: both children of a node with each other and
 with the children of its partner, one more error for unequal bits, and a pair is dropped when its errors exceed the
@@ -16,7 +17,9 @@ Null text is the empty text (fingerprint 0); rows with null doc_id belong to the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from .tokens import slices
 
 BUDGET = 3
 TRIE_SIZE = 4096
+#: Most paths of a level, each a mask in the plan: eight levels at budget 3, five at budget 8.
+PATHS = 1 << 16
 #: Node pairs that a walk holds at a time for each bit of depth.
 WALK_PAIRS = 1 << 19
 #: Entries whose tries are walked together.
@@ -70,48 +75,50 @@ def fingerprints(docs: DataFrame, width: int = 3, more: Sequence[str] = ()) -> D
     return read.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} {read.schema[c].dataType.simpleString()}" for c in more)]))
 
 
-def block_masks(levels: int) -> list[list[tuple[int, int]]]:
+def block_levels(budget: int = BUDGET) -> Iterator[list[tuple[int, int]]]:
     """For each level and path (the block taken at each level) the mask of matched bits and of those left."""
     now = [(0, (1 << 64) - 1)]
-    out = []
-    for _ in range(levels):
+    while True:
         following = []
         for matched, left in now:
             bits = [i for i in range(64) if left >> i & 1]
-            for part in np.array_split(np.array(bits), BUDGET + 1):
+            for part in np.array_split(np.array(bits, np.int64), budget + 1):
                 mask = sum(1 << int(i) for i in part)
                 following.append((matched | mask, left & ~mask))
-        out.append(now := following)
-    return out
+        yield (now := following)
+
+
+def block_masks(levels: int, budget: int = BUDGET) -> list[list[tuple[int, int]]]:
+    """The first `levels` of `block_levels`."""
+    return list(islice(block_levels(budget), levels))
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tries(entries: DataFrame, trie_size: int = TRIE_SIZE) -> DataFrame:
-    """(fp, trie): the tries that each distinct `fp` belongs to, none above `trie_size` entries unless it cannot link."""
-    masks = block_masks(8)
+def tries(entries: DataFrame, trie_size: int = TRIE_SIZE, budget: int = BUDGET) -> DataFrame:
+    """(fp, trie): the tries that each distinct `fp` belongs to, split above `trie_size` entries for as many levels as `PATHS` allows."""
+    last = max(1, int(math.log(PATHS, budget + 1) + 1e-9) if budget else 1) - 1
     rows = entries.select("fp", F.lit(0).alias("path"))
     done = None
-    for level, paths in enumerate(masks):
+    for level, paths in enumerate(block_levels(budget)):
         of_path = F.array(*[F.lit(signed(m)) for m, _ in paths])
-        blocks = F.sequence(F.col("path") * (BUDGET + 1), F.col("path") * (BUDGET + 1) + BUDGET)
+        blocks = F.sequence(F.col("path") * (budget + 1), F.col("path") * (budget + 1) + budget)
         rows = rows.select("fp", F.explode(blocks).alias("path"))
         value = F.col("fp").bitwiseAND(F.element_at(of_path, F.col("path") + 1))
         rows = rows.select("fp", "path", F.xxhash64(F.lit(level), "path", value).alias("trie"))
         large = stored(rows.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > trie_size).select("trie"), "large-tries")
-        if large.isEmpty() or level + 1 == len(masks):
+        if large.isEmpty() or level == last:
             part, rows = rows, None
         else:
-            # more than trie_size entries each: at most entries * 4 / trie_size of them, so plain joins with AQE
+            # more than trie_size entries each: at most entries * (budget + 1) ** level / trie_size of them, so plain joins with AQE
             part = rows.join(large, "trie", "left_anti")
             rows = stored(rows.join(large, "trie", "left_semi").select("fp", "path"), "large-trie-rows")
         part = part.select("fp", "trie")
         done = part if done is None else done.unionByName(part)
         if rows is None:
             return done
-    return done
 
 
 def walk(fps: np.ndarray, roots: list[tuple[int, int]], budget: int = BUDGET) -> np.ndarray:
@@ -201,7 +208,7 @@ def linked_entries(entries: DataFrame, budget: int = BUDGET, trie_size: int = TR
 
     # bits as an unsigned number: the sign bit is flipped for the sort
     order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
-    placed = tries(entries, trie_size).repartition(shuffle_width(entries.sparkSession), "trie").sortWithinPartitions("trie", order)
+    placed = tries(entries, trie_size, budget).repartition(shuffle_width(entries.sparkSession), "trie").sortWithinPartitions("trie", order)
     return placed.select("trie", "fp").mapInArrow(run, "fp long, other long")
 
 
@@ -232,7 +239,11 @@ def distinct_documents(docs: DataFrame, width: int = 3, budget: int = BUDGET, tr
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links) of every row; `n_links`: trie links of its fingerprint, 0 if it has none."""
+    """(doc_id, fingerprint, component_id, n_links) of every row.
+
+    `n_links` counts the rows that the tries return for its fingerprint, as entry or as head of a class in a trie. It is
+    not the number of fingerprints in reach, and 0 for rows whose class is equal fingerprints alone.
+    """
     rows = stored(fingerprints(docs, width), "fingerprints")
     entries = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "entries")
     parts, links = classes_of(entries, budget, trie_size)

@@ -109,3 +109,24 @@ def test_one_row_of_each_class_whatever_its_id(spark):
     kept = [tuple(r) for r in distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, note string")).collect()]
     third = min(rows[2:4], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
     assert sorted(map(repr, kept)) == sorted(map(repr, [rows[0], rows[1], third, rows[4], rows[6], rows[9]]))
+
+
+def test_larger_budgets_lose_no_pair(spark):
+    for budget in range(4, 9):
+        bases = clustered(120, budget, 1)
+        # errors spread over all bits, so that the pair agrees on none of four blocks
+        spread = sum(1 << (i * 64 // budget) for i in range(budget))
+        fps = np.unique(np.concatenate([bases, bases[:40] ^ np.uint64(spread), clustered(200, budget + 10, budget // 2)]))
+        keys = fps.view(np.int64)
+        entries = spark.createDataFrame([(int(x),) for x in keys], "fp long")
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= budget
+        label = np.arange(len(fps))
+        while (smallest := np.where(near, label[None, :], len(fps)).min(axis=1)).tolist() != label.tolist():
+            label = smallest
+        place = {int(k): i for i, k in enumerate(keys)}
+        got = np.arange(len(fps))
+        for r in linked_entries(entries, budget, trie_size=10_000 if budget % 2 else 60).collect():
+            a, b = got[place[r.fp]], got[place[r.other]]
+            got[got == max(a, b)] = min(a, b)
+        assert (got == label).all(), budget
+        assert (label != np.arange(len(fps))).sum() > 40
