@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, elias_fano, exact_dedup, html_template, mixing, packing, quartile_digest, robust_graph, simhash_trie, toxicity, warc
+from . import chat, elias_fano, exact_dedup, html_template, mixing, packing, quartile_digest, robust_graph, simhash_trie, threshold_join, toxicity, turn_repair, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,106 @@ FROM scored QUALIFY rank <= 10
 def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return robust_graph.search(robust_graph.build_index(rows, most=10), rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query(r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM rows a JOIN rows c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return threshold_join.mine_negatives(rows, rows.where(F.col("id") % 50 == 0))
+
+
+def _cheapest_audit() -> str:
+    """DuckDB expression over the list `codes`: fold of the four states' best `cost letters` texts (~: none), joined by |."""
+
+    def add(x: str, cost: str, letter: str) -> str:
+        return f"CASE WHEN {x} = '~' THEN '~' ELSE lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{letter}' END"
+
+    def when(test: str, value: str) -> str:
+        return f"CASE WHEN {test} THEN {value} ELSE '~' END"
+
+    def least(*values: str) -> str:
+        return f"least({', '.join(values)})"
+
+    late = "CASE WHEN code IN ('S', 'U', 'A', 'O') THEN 5 ELSE 0 END"
+    stays, n, s, u, a = "code <> 'x'", "v[1]", "v[2]", "v[3]", "v[4]"
+    to_user = [when(f"{stays} AND lower(code) = 'u'", add(x, late, "K")) for x in (n, s, a)] + [when(stays, add(x, f"1 + {late}", "R")) for x in (n, s, a)]
+    rows = [
+        add(n, "2", "D"), least(add(s, "2", "D"), when("lower(code) = 's'", add(n, late, "K"))), least(add(u, "2", "D"), *to_user),
+        least(add(a, "2", "D"), when("lower(code) = 'a'", add(u, late, "K")), when(stays, add(u, f"1 + {late}", "R"))),
+    ]
+    user = least("w[3]", *[add(x, "5", "I") for x in ("w[1]", "w[2]", "w[4]")])
+    closed = f"list_transform([[{', '.join(rows)}]], lambda w: list_transform([{user}], lambda z: w[1] || '|' || w[2] || '|' || z || '|' || {least('w[4]', add('z', '5', 'I'))})[1])[1]"
+    step = f"list_transform([string_split(acc, '|')], lambda v: {closed})[1]"
+    return f"list_reduce(list_prepend('000000000|~|000000005I|000000010II', codes), lambda acc, code: {step})"
+
+
+@query(r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 20 AS d
+  FROM conversations
+), broken AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, substr(role, 1, 1) AS initial,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last_char FROM broken
+), faulty AS (
+  SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), FALSE) AS illegal
+  FROM placed
+), talks AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal,
+    list(CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END)
+      WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END ORDER BY pos) AS codes
+  FROM faulty GROUP BY conv_id
+), best AS (
+  SELECT * EXCLUDE (codes), string_split(CHEAPEST, '|') AS states FROM talks
+), plans AS (
+  SELECT * EXCLUDE (states), CAST(substr(least(states[1], states[4]), 1, 9) AS BIGINT) AS cost, substr(least(states[1], states[4]), 10) AS audit FROM best
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS k FROM plans
+), counted AS (
+  SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS pos FROM letters
+), kept AS (
+  SELECT c.conv_id, c.letter, p.role, p.text, p.initial, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.k) AS place
+  FROM counted c LEFT JOIN placed p ON c.letter <> 'I' AND p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.pos = c.pos WHERE c.letter <> 'D'
+), led AS (
+  SELECT *, CASE WHEN max(CASE WHEN place = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 THEN 1 ELSE 0 END AS lead FROM kept
+), digests AS (
+  SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS digest FROM led GROUP BY conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN plans p ON p.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM g.conv_id
+""".replace("CHEAPEST", _cheapest_audit()))
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.repair_report(turn_repair.damaged(turns), turns.select("conv_id"))

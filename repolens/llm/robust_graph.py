@@ -19,7 +19,7 @@ the graphs reach. An empty table gives an empty index and no results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -84,6 +84,23 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple,
             yield tuple(v[a] for v in values), batch.slice(a, b - a)
 
 
+def answered(batches: Iterator[pa.RecordBatch], prepare: Callable, answer: Callable, step: int) -> Iterator[pa.RecordBatch]:
+    """For each shard, its rows (`kind` 0, first) prepared once and every `step` questions (`kind` 1) answered from them."""
+    for _, group in groupby(runs(batches, "shard", "size", "kind"), lambda x: x[0][:2]):
+        rows: list[pa.RecordBatch] = []
+        state = None
+        for (_, _, kind), part in group:
+            if kind == 0:
+                rows.append(part)
+                continue
+            if not rows:  # no vector of this size in the shard
+                continue
+            if state is None:
+                state = prepare(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+            for a in range(0, part.num_rows, step):
+                yield answer(state, part.slice(a, step))
+
+
 def by_shard(rows: DataFrame, shards: int, *order: str) -> DataFrame:
     """One partition for each shard, its rows in order."""
     return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "size", *order)
@@ -254,7 +271,7 @@ class Graph:
 
 def measured(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Euclidean distances of each query (b x d) to its vectors (b x w x d), squares added from the first component on."""
-    away = np.moveaxis(vectors - queries[:, None, :], 2, 0)
+    away = np.ascontiguousarray(np.moveaxis(vectors - queries[:, None, :], 2, 0))
     return np.sqrt(np.add.reduce(away * away, axis=0))
 
 
@@ -293,22 +310,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
         F.lit(None).cast("array<int>").alias("neighbours"), F.lit(False).alias("entry"))
     rows = index.withColumn("kind", F.lit(0)).select(asked.columns).unionByName(asked)
 
+    def prepare(rows: pa.RecordBatch) -> tuple:
+        vectors = matrix(rows.column("vector"))
+        entries = np.flatnonzero(rows.column("entry").to_numpy(zero_copy_only=False))
+        return Graph(vectors, matrix(rows.column("neighbours")), entries), vectors, rows.column("ids").to_pylist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groupby(runs(batches, "shard", "size", "kind"), lambda x: x[0][:2]):
-            nodes: list[pa.RecordBatch] = []
-            graph = None
-            for (_, _, kind), part in group:
-                if kind == 0:
-                    nodes.append(part)
-                    continue
-                if not nodes:
-                    continue
-                if graph is None:
-                    table = pa.Table.from_batches(nodes).combine_chunks().to_batches()[0]
-                    vectors, ids = matrix(table.column("vector")), table.column("ids").to_pylist()
-                    graph = Graph(vectors, matrix(table.column("neighbours")), np.flatnonzero(table.column("entry").to_numpy(zero_copy_only=False)))
-                for a in range(0, part.num_rows, BATCH):
-                    yield nearest_rows(graph, vectors, ids, part.slice(a, BATCH), k, width)
+        return answered(batches, prepare, lambda state, asked: nearest_rows(*state, asked, k, width), BATCH)
 
     found = by_shard(rows, shards, "kind", "node").mapInArrow(run, FOUND)
     best = Window.partitionBy("query_id", "which").orderBy("score", "vec_id")
