@@ -22,6 +22,18 @@ FIRST = "\ud800"  # cannot occur in a text: marks a piece that has no space befo
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
+#: The characters that byte-level BPE shows for bytes: printable ones stand for themselves, the others follow from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SHOWN_SPACE = chr(SHOWN_BYTES[32])
+#: Letters up to here keep their form under NFC, and each lower-cases by itself (but U+0130).
+LAST_LATIN = "\u024f"
+
+
+def latin_word(piece: str) -> bool:
+    word = piece[1:] if piece[:1] == FIRST else piece
+    return word.isalpha() and (word.isascii() or max(word) <= LAST_LATIN and "\u0130" not in word)
+
 
 class PieceEncoder:
     """`keep_spaces`: the format has a space in front of a word as part of its token (else spaces are dropped)."""
@@ -37,8 +49,28 @@ class PieceEncoder:
         self.separator, self.separator_id = specials[0]
         #: In a format without case, ASCII texts are lower-cased first: fewer pieces, same ids.
         self.caseless = "Lowercase" in str(self.plain.normalizer)
+        self.model = self.plain.model
+        self.direct = self.words_are_pieces()
         self.forget()
 
+    def words_are_pieces(self) -> bool:
+        """Whether a run of letters is one piece of byte-level BPE, so that the model alone gives its ids."""
+        shown = f"{type(self.model).__name__} {self.plain.pre_tokenizer}"
+        return shown.startswith("BPE") and "ByteLevel" in shown and all(
+            self.word_ids(p) == self.plain.encode(self.text_of(p), add_special_tokens=False).ids for p in ("Word", FIRST + "Größe", "élan", FIRST + "x"))
+
+    def word_ids(self, piece: str) -> list[int]:
+        """Ids of a piece of Latin letters, by the merges of the model without normalizer and pre-tokenizer."""
+        first = piece[:1] == FIRST
+        word = piece[1:] if first else piece
+        if self.caseless:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(SHOWN_BYTES)
+        if self.keep_spaces and not first:
+            word = SHOWN_SPACE + word
+        return [t.id for t in self.model.tokenize(word)]
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -65,14 +97,30 @@ class PieceEncoder:
             return piece[1:]
         return " " + piece if self.keep_spaces else piece
 
-    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new pieces one after the other, and how many each has: many in one call, cut at the special token."""
+    def ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The new pieces in another order, their ids one after the other, and how many each has.
+
+        Latin words go to the model; the rest to the tokenizer, many in one call, cut at the special token.
+        """
+        if not self.direct:
+            return pieces, *self.tokenized(pieces)
+        words, others = [], []
+        for p in pieces:
+            (words if latin_word(p) else others).append(p)
+        found = list(map(self.word_ids, words))
+        ids, sizes = self.tokenized(others)
+        return (
+            words + others, np.concatenate([np.fromiter(chain.from_iterable(found), np.uint32), ids]),
+            np.concatenate([np.fromiter(map(len, found), np.int64, len(found)), sizes]))
+
+    def tokenized(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the whole tokenizer, and how many each has."""
         parts, sizes = [], []
         for a, b in slices(len(pieces), 500):
             texts = [self.text_of(p) for p in pieces[a:b]]
             joined = self.separator.join(texts)
             if joined.count("<|") == len(texts) - 1 == joined.count("|>"):
-                ids = np.asarray(self.cutting.encode(joined, add_special_tokens=False).ids, np.uint32)
+                ids = np.asarray(self.cutting.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
                 cuts = np.flatnonzero(ids == self.separator_id)
                 if len(cuts) == len(texts) - 1:
                     sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
@@ -113,7 +161,7 @@ class PieceEncoder:
             else:
                 whole.append(piece)
         whole = list(dict.fromkeys([*whole, *(p for p in (*words, *marks) if p not in self.index)]))
-        self.remember(whole, *self.ids_of(whole))
+        self.remember(*self.ids_of(whole))
         if composed:
             index = self.index
             ids, ends = self.gather(np.array([index[p] for pair in zip(words, marks) for p in pair], np.int64))
@@ -142,7 +190,7 @@ class PieceEncoder:
                 k = self.index[p]
                 parts.append(self.flat[self.start[k] : self.start[k] + self.size[k]])
             else:
-                parts.append(self.ids_of([p])[0])
+                parts.append(self.ids_of([p])[1])
         return np.concatenate(parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -168,7 +216,7 @@ class PieceEncoder:
         elif new:
             self.learn(missing)
             at[new] = [self.index[every[i]] for i in new]
-        self.seen[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        np.add.at(self.seen, at, 1)
         ids, ends = self.gather(at)
         ends = np.concatenate([[0], ends])
         a = 0
