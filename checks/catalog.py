@@ -1,3 +1,3 @@
 """Imports every check module."""
 
-from . import cluster_checks, flow_checks, mining_checks, query_checks, ranking_checks, routing_checks, scalars, state_checks, store, view_checks  # noqa: F401
+from . import change_checks, cluster_checks, flow_checks, mining_checks, query_checks, ranking_checks, routing_checks, scalars, state_checks, store, view_checks  # noqa: F401

@@ -185,6 +185,13 @@ def e9(t):
     return inv.comment_prompts(parsed, sy.give_ids(sy.raw_symbols(parsed)), 200).select("repo_hash", "source_location", "rank")
 
 
+@check("e9_all_comment_prompts", "SELECT repo_hash, concat(file_path, ':6') AS source_location FROM fx_source_files")
+def e9_all(t):
+    # Every function gets a comment line; all prompts are kept.
+    parsed = fa.syntax_facts(files(t).withColumn("content", F.replace(c("content"), F.lit("\n\ndef fn"), F.lit("\n# checks x\ndef fn"))))
+    return inv.comment_prompts(parsed, sy.give_ids(sy.raw_symbols(parsed))).select("repo_hash", "source_location")
+
+
 @check("e11_comment_candidates", """
 SELECT target_symbol_id, concat('must hold ', source_location) AS text, 0.35::DOUBLE AS confidence FROM (SELECT DISTINCT repo_hash, target_symbol_id, source_location FROM fx_candidates) d WHERE source_location LIKE '%.py:%'""")
 def e11(t):

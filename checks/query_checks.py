@@ -207,9 +207,9 @@ def g15(t):
 
 
 @check("g16_flows_touching", f"""
-WITH {FLOW_NODES} SELECT DISTINCT s.repo_hash, s.file_path, n.flow_id FROM fx_symbols s JOIN node n ON n.symbol_id = s.symbol_id WHERE s.kind = 'method'""")
+WITH {FLOW_NODES} SELECT DISTINCT s.repo_hash, s.file_path, n.flow_id FROM fx_symbols s JOIN node n ON n.symbol_id = s.symbol_id""")
 def g16(t):
-    ids = t.symbols.where("kind = 'method'").select(c("file_path").alias("query_id"), "repo_hash", "symbol_id")
+    ids = t.symbols.select(c("file_path").alias("query_id"), "repo_hash", "symbol_id")
     return lookups.flows_touching(ids, t.flows).withColumnRenamed("query_id", "file_path")
 
 
@@ -234,9 +234,9 @@ def g18(t):
     return out.select("query_id", "invariant_id", "target_symbol", "text", "confidence")
 
 
-@check("g19_invariants_of_symbols", "SELECT i.invariant_id, i.confidence FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id WHERE s.kind = 'class' AND confidence >= 0.5")
+@check("g19_invariants_of_symbols", "SELECT i.invariant_id, i.confidence FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id WHERE confidence >= 0.5")
 def g19(t):
-    return lookups.invariants_of_symbols(t.symbols.where("kind = 'class'"), t.invariants, 0.5).select("invariant_id", "confidence")
+    return lookups.invariants_of_symbols(t.symbols, t.invariants, 0.5).select("invariant_id", "confidence")
 
 
 @check("g20_invariants_per_symbol", """
@@ -297,14 +297,10 @@ def g25(t):
     return out.withColumns({n: F.array_join(n, ",") for n in ("allowed", "forbidden")})
 
 
-EXM_SYMBOLS = "SELECT * FROM fx_symbols WHERE kind <> 'function' AND file_path NOT LIKE '/db/%'"
-
-
 @check("g26_find_exemplars", f"""
 WITH {SIGNAL_CTES}, req AS (SELECT min(query_id) AS query_id, repo_hash, cluster_id, question FROM fx_requests GROUP BY repo_hash, cluster_id, question),
-syms AS ({EXM_SYMBOLS}),
 sc2 AS (SELECT q.query_id, m.file_path, 0.35::DOUBLE * sig.sc + 0.1::DOUBLE * sig.cr + 0.35::DOUBLE * greatest(0, coalesce(list_cosine_similarity(e.embedding::DOUBLE[], v.query_vector::DOUBLE[]), 0)) + 0.1::DOUBLE * sig.tc AS score
-  FROM req q JOIN fx_files m ON m.repo_hash = q.repo_hash AND m.cluster_id = q.cluster_id JOIN syms s ON s.repo_hash = m.repo_hash AND s.file_path = m.file_path JOIN sig ON sig.symbol_id = s.symbol_id
+  FROM req q JOIN fx_files m ON m.repo_hash = q.repo_hash AND m.cluster_id = q.cluster_id JOIN fx_symbols s ON s.repo_hash = m.repo_hash AND s.file_path = m.file_path JOIN sig ON sig.symbol_id = s.symbol_id
   LEFT JOIN fx_embeddings e ON e.symbol_id = s.symbol_id LEFT JOIN fx_query_vectors v ON v.query_id = q.query_id),
 best AS (SELECT query_id, file_path, max(score) AS score FROM sc2 GROUP BY ALL),
 top AS (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, file_path) AS rank, TRUE AS scored FROM best
@@ -312,7 +308,7 @@ top AS (SELECT query_id, file_path, row_number() OVER (PARTITION BY query_id ORD
 SELECT r.query_id, t.rank, t.file_path, t.scored FROM fx_requests r JOIN req q ON q.repo_hash = r.repo_hash AND q.cluster_id = r.cluster_id AND q.question = r.question JOIN top t ON t.query_id = q.query_id WHERE t.rank <= 5""")
 def g26(t):
     signals = ranking.symbol_signals(t.symbols, t.refs, t.files, AS_OF, "degree")
-    out = lookups.find_exemplars(t.requests, t.files, t.sql(EXM_SYMBOLS), signals, t.embeddings, t.query_vectors)
+    out = lookups.find_exemplars(t.requests, t.files, t.symbols, signals, t.embeddings, t.query_vectors)
     return out.select("query_id", "rank", "file_path", c("reason").startswith("top-ranked").alias("scored"))
 
 

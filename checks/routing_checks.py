@@ -104,16 +104,16 @@ def h14(t):
 
 
 STEPS = """SELECT concat(CAST(run_id AS STRING), '-', CAST(step AS STRING)) AS reply_id, CASE step % 4
-  WHEN 0 THEN concat('[{"kind": "final", "text": "done ', CAST(run_id AS STRING), '", "tool": 5, "ts_ms": 12}, {"kind": "odd", "text": "x"}, 7]')
-  WHEN 1 THEN '[{"kind": "thought", "text": 3}]' WHEN 2 THEN '[]' ELSE '[{"kind": "tool_call", "text": "t", "tool": "grep", "ts_ms": "12"}]' END AS steps FROM fx_agent_steps"""
+  WHEN 0 THEN concat('[{"kind": "final", "text": "done ', CAST(run_id AS STRING), '", "tool": 5, "ts_ms": 12, "citations": ["a.f", 3, "b.g", null]}, {"kind": "odd", "text": "x"}, 7]')
+  WHEN 1 THEN '[{"kind": "thought", "text": 3}]' WHEN 2 THEN '[]' ELSE '[{"kind": "tool_call", "text": "t", "tool": "grep", "ts_ms": "12", "citations": "a.f"}]' END AS steps FROM fx_agent_steps"""
 
 
 @check("h15_clean_steps", """
-SELECT concat(CAST(run_id AS VARCHAR), '-', CAST(step AS VARCHAR)) AS reply_id, CASE step % 4 WHEN 0 THEN concat('final|done ', run_id, '|-|12') WHEN 3 THEN 'tool_call|t|grep|-' ELSE '' END AS steps,
+SELECT concat(CAST(run_id AS VARCHAR), '-', CAST(step AS VARCHAR)) AS reply_id, CASE step % 4 WHEN 0 THEN concat('final|done ', run_id, '|-|12|a.f,b.g') WHEN 3 THEN 'tool_call|t|grep|-|' ELSE '' END AS steps,
   CASE step % 4 WHEN 1 THEN 'dropped malformed ''steps'' entries' END AS warning FROM fx_agent_steps""")
 def h15(t):
     out = routing.clean_steps(t.sql(STEPS))
-    shown = F.transform("steps", lambda s: F.concat_ws("|", s["kind"], s["text"], F.coalesce(s["tool"], F.lit("-")), F.coalesce(s["ts_ms"].cast("string"), F.lit("-"))))
+    shown = F.transform("steps", lambda s: F.concat_ws("|", s["kind"], s["text"], F.coalesce(s["tool"], F.lit("-")), F.coalesce(s["ts_ms"].cast("string"), F.lit("-")), F.array_join(s["citations"], ",")))
     return out.withColumn("steps", F.array_join(shown, ";"))
 
 
@@ -169,9 +169,9 @@ def s5(t):
     return scopes.scope_summary(valid, files, names).where("kind = 'symbols'").select("scope_id", "n_names", "n_missing")
 
 
-ADMIT = """SELECT r.query_id, concat('z', CAST(r.query_id AS STRING)) AS scope_id, r.repo_hash, CASE r.query_id % 4 WHEN 0 THEN 'find_invariants' WHEN 1 THEN 'describe_architecture' WHEN 2 THEN 'trace_data_flow' ELSE 'find_exemplars' END AS query_type,
-  CASE WHEN r.query_id % 4 IN (1, 3) THEN NULL WHEN r.query_id % 3 = 0 THEN concat(r.symbol, '.gone') ELSE r.symbol END AS symbol, CASE WHEN r.query_id % 4 = 2 THEN NULL ELSE r.cluster_id END AS cluster_id,
-  CASE WHEN r.query_id % 4 = 1 THEN concat('/', split_part(r.path, '/', 2), CASE WHEN r.query_id % 3 = 0 THEN 'x' ELSE '/' END) ELSE NULL END AS path FROM fx_requests r WHERE r.query_id % 5 <> 4"""
+ADMIT = """SELECT r.query_id, concat('z', CAST(r.query_id AS STRING)) AS scope_id, r.repo_hash, CASE r.query_id % 6 WHEN 0 THEN 'find_invariants' WHEN 1 THEN 'describe_architecture' WHEN 2 THEN 'trace_data_flow' WHEN 3 THEN 'find_exemplars' ELSE 'find_relevant_context' END AS query_type,
+  CASE WHEN r.query_id % 6 IN (1, 3, 5) THEN NULL WHEN r.query_id % 7 = 0 THEN concat(r.symbol, '.gone') ELSE r.symbol END AS symbol, CASE WHEN r.query_id % 6 = 2 THEN NULL ELSE r.cluster_id END AS cluster_id,
+  CASE WHEN r.query_id % 6 = 1 THEN concat('/', split_part(r.path, '/', 2), CASE WHEN r.query_id % 7 = 0 THEN 'x' ELSE '/' END) ELSE NULL END AS path FROM fx_requests r"""
 
 
 @check("s6_admission", f"""
@@ -180,6 +180,7 @@ sz AS (SELECT repo_hash, cluster_id, count(*) AS n FROM fx_files WHERE cluster_i
 ins AS (SELECT sf.scope_id, f.cluster_id, count(*) AS n FROM sf JOIN fx_files f ON f.repo_hash = sf.repo_hash AND f.file_path = sf.file_path GROUP BY ALL),
 pin AS (SELECT DISTINCT a.query_id FROM a JOIN sf ON sf.scope_id = a.scope_id WHERE sf.file_path = a.path OR starts_with(sf.file_path, concat(rtrim(a.path, '/'), '/')))
 SELECT a.query_id, CASE a.query_type
+  WHEN 'find_relevant_context' THEN CASE WHEN a.symbol IS NOT NULL AND (a.scope_id, a.symbol) NOT IN (SELECT (scope_id, qualified_name) FROM sn) THEN 'seed symbol is outside the scope' END
   WHEN 'trace_data_flow' THEN CASE WHEN (a.scope_id, a.symbol) NOT IN (SELECT (scope_id, qualified_name) FROM sn) THEN 'symbol is outside the scope' END
   WHEN 'find_invariants' THEN CASE WHEN (a.scope_id, a.symbol) NOT IN (SELECT (scope_id, qualified_name) FROM sn) THEN 'symbol is outside the scope' WHEN coalesce(ins.n, 0) < coalesce(sz.n, 0) THEN 'cluster contains files outside the scope' END
   WHEN 'describe_architecture' THEN CASE WHEN coalesce(ins.n, 0) = 0 THEN 'cluster does not intersect the scope' WHEN pin.query_id IS NULL THEN 'path is outside the scope' END

@@ -102,9 +102,9 @@ def x9(t):
 
 
 @check("x10_folder_prefix", """
-SELECT file_path, concat(rtrim(trim(concat('  ', substr(file_path, 1, 12), '//')), '/'), '/') AS prefix FROM fx_files""")
+SELECT file_path, concat(rtrim(trim(concat('  ', file_path, '//')), '/'), '/') AS prefix FROM fx_files""")
 def x10(t):
-    raw = F.concat(F.lit("  "), F.substring("file_path", 1, 12), F.lit("//"))
+    raw = F.concat(F.lit("  "), "file_path", F.lit("//"))
     return t.files.select("file_path", paths.folder_prefix(raw).alias("prefix"))
 
 

@@ -65,11 +65,13 @@ def p4(t):
     return both(pj.invariant_projection(t.invariants, t.symbols), ("target_symbol",))
 
 
-@check("p5_projection_by_layer", "SELECT repo_hash, 'architecture' AS layer, count(*) AS n FROM fx_clusters GROUP BY ALL UNION ALL SELECT repo_hash, 'symbol', count(*) FROM fx_symbols GROUP BY ALL")
+@check("p5_projection_by_layer", "SELECT repo_hash, 'architecture' AS layer, count(*) AS n FROM fx_clusters GROUP BY ALL UNION ALL SELECT repo_hash, 'symbol', count(*) FROM fx_symbols GROUP BY ALL "
+       "UNION ALL SELECT repo_hash, 'flow', count(DISTINCT id) FROM (SELECT repo_hash, unnest([source_symbol_id, sink_symbol_id, mid1, mid2]) AS id FROM fx_flows) u WHERE id IS NOT NULL GROUP BY ALL "
+       "UNION ALL SELECT i.repo_hash, 'invariant', count(*) + count(DISTINCT target_symbol_id) FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id GROUP BY ALL")
 def p5(t):
     tables = {"symbols": t.symbols, "refs": t.refs, "files": t.files, "clusters": t.clusters, "cluster_dependencies": t.cluster_deps, "flows": t.flows, "invariants": t.invariants}
     out = None
-    for layer in ("architecture", "symbol", "nonsense"):
+    for layer in ("architecture", "symbol", "flow", "invariant", "nonsense"):
         part = pj.projection_for(layer, tables)[0].groupBy("repo_hash").agg(F.count("*").alias("n")).select("repo_hash", F.lit(layer).alias("layer"), "n")
         out = part if out is None else out.unionByName(part)
     return out
@@ -331,17 +333,20 @@ def u22(t):
 
 
 CHAINED = """
-SELECT repo_hash, concat('/top/mid', file_path) AS file_path FROM fx_files WHERE file_path LIKE '/core/%'
-UNION ALL SELECT DISTINCT repo_hash, '/top/mid/core/z1/f.py' FROM fx_files WHERE file_path LIKE '/core/%' UNION ALL SELECT DISTINCT repo_hash, '/top/mid/core/z2/f.py' FROM fx_files WHERE file_path LIKE '/core/%'
+SELECT repo_hash, concat('/top/mid', file_path) AS file_path FROM fx_files
+UNION ALL SELECT DISTINCT repo_hash, '/top/mid/z1/f.py' FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/top/mid/z2/f.py' FROM fx_files
 UNION ALL SELECT repo_hash, concat('/solo/a/b/c/', repo_hash, '.py') FROM fx_files"""
 
 
 @check("u24_flattened_tree", """
-SELECT DISTINCT repo_hash, '/top' AS path, 'top/mid/core' AS display FROM fx_files WHERE file_path LIKE '/core/%' UNION ALL SELECT DISTINCT repo_hash, '/top/mid', 'mid/core' FROM fx_files WHERE file_path LIKE '/core/%'
+WITH p AS (SELECT DISTINCT repo_hash, split_part(file_path, '/', 2) AS area, split_part(file_path, '/', 3) AS pkg FROM fx_files)
+SELECT DISTINCT repo_hash, '/top' AS path, 'top/mid' AS display FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/top/mid', 'mid' FROM fx_files
+UNION ALL SELECT DISTINCT repo_hash, '/top/mid/z1', 'z1' FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/top/mid/z2', 'z2' FROM fx_files
+UNION ALL SELECT repo_hash, concat('/top/mid/', area), CASE WHEN count(*) = 1 THEN concat(area, '/', min(pkg)) ELSE area END FROM p GROUP BY repo_hash, area
+UNION ALL SELECT repo_hash, concat('/top/mid/', area, '/', pkg), pkg FROM p
 UNION ALL SELECT DISTINCT repo_hash, '/solo', 'solo/a/b/c' FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/solo/a', 'a/b/c' FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/solo/a/b', 'b/c' FROM fx_files UNION ALL SELECT DISTINCT repo_hash, '/solo/a/b/c', 'c' FROM fx_files""")
 def u24(t):
-    # Folders below the branching folder are left out of the comparison: they are plain names.
-    return ru.flattened_tree(ru.file_tree(t.sql(CHAINED))).where("path NOT LIKE '/top/mid/core%'").select("repo_hash", "path", "display")
+    return ru.flattened_tree(ru.file_tree(t.sql(CHAINED))).select("repo_hash", "path", "display")
 
 
 @check("u23_activity_rows", "SELECT repo_hash, event_id AS activity_id, event AS agent, CAST(event_id % 9 AS BIGINT) AS symbols_returned, CAST(700 * (event_id % 9) AS BIGINT) AS tokens_saved FROM fx_events")
@@ -350,6 +355,41 @@ def u23(t):
     return ru.activity_rows(rows)
 
 
+LABELLED = """SELECT repo_hash, event_id AS activity_id, CASE event_id % 6 WHEN 0 THEN 'find_relevant_context' WHEN 1 THEN 'trace_data_flow' WHEN 2 THEN 'find_invariants' WHEN 3 THEN 'describe_architecture'
+  WHEN 4 THEN 'find_exemplars' ELSE event END AS query_type, event_id % 9 AS n_symbols FROM fx_events"""
+AGENTS = "CASE query_type WHEN 'find_relevant_context' THEN 'Coordinator' WHEN 'trace_data_flow' THEN 'Flow Analyst' WHEN 'find_invariants' THEN 'Invariant Reporter' WHEN 'describe_architecture' THEN 'Architecture Analyst' WHEN 'find_exemplars' THEN 'Exemplar Finder' ELSE query_type END"
+
+
+@check("u23_labelled_activity", f"SELECT repo_hash, activity_id, {AGENTS} AS agent, n_symbols AS symbols_returned, n_symbols * 700 AS tokens_saved FROM ({LABELLED}) l")
+def u23_labelled(t):
+    return ru.activity_rows(t.sql(LABELLED))
+
+
+@check("u23_activity_totals", f"SELECT repo_hash, count(*) AS queries, CAST(sum(n_symbols) AS BIGINT) AS symbols_returned, CAST(sum(n_symbols * 700) AS BIGINT) AS tokens_saved FROM ({LABELLED}) l GROUP BY ALL")
+def u23_totals(t):
+    return ru.activity_totals(ru.activity_rows(t.sql(LABELLED)))
+
+
+@check("u21_grouped_invariants", """
+SELECT b.band, i.repo_hash, i.target_symbol_id, i.invariant_id, i.text, i.source_kind, i.source_location, i.confidence, count(*) OVER (PARTITION BY b.band, i.repo_hash, i.target_symbol_id) AS n
+FROM fx_invariants i JOIN (VALUES ('all'), ('high'), ('medium')) b(band) ON CASE b.band WHEN 'high' THEN confidence >= 0.9 WHEN 'medium' THEN confidence >= 0.7 AND confidence < 0.9 ELSE TRUE END""")
+def u21_rows(t):
+    out = None
+    for band in ("all", "high", "medium"):
+        part = ru.grouped_invariants(t.invariants, band).withColumn("band", F.lit(band))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@check("u3_ranked_clusters", f"""
+WITH {FILE_META}, named AS (SELECT *, CASE cid WHEN 'c:fn' THEN NULL ELSE upper(cid) END AS short, concat('role of ', cid) AS role FROM cnt WHERE cid IS NOT NULL)
+SELECT n.repo_hash, n.file_path, n.cid AS cluster_id, coalesce(n.short, 'CLUSTER') AS short, n.role, CAST(n.n AS BIGINT) AS n, row_number() OVER (PARTITION BY n.repo_hash, n.file_path ORDER BY n.n DESC, n.cid) AS rank, m.mixed
+FROM named n JOIN meta m ON m.repo_hash = n.repo_hash AND m.file_path = n.file_path""")
+def u3_ranked(t):
+    rows = spread(t).withColumn("cluster_short", F.when(c("cluster_id") != "c:fn", F.upper("cluster_id"))).withColumn("cluster_role", F.concat(F.lit("role of "), "cluster_id"))
+    return ru.ranked_clusters(rows).withColumn("rank", c("rank").cast("bigint"))
+
+
 @check("u25_induced_edges", """
 SELECT r.repo_hash, r.source_symbol_id AS source, r.target_symbol_id AS target, count(*) AS n FROM fx_refs r JOIN fx_symbols a ON a.symbol_id = r.source_symbol_id JOIN fx_symbols b ON b.symbol_id = r.target_symbol_id WHERE a.kind = 'class' AND b.kind = 'class' GROUP BY ALL""")
 def u25(t):

@@ -131,3 +131,21 @@ def drill_context(path: Column, skip: int) -> Column:
     dirs = F.filter(F.split(path, "/"), lambda s: s != "")
     inner = F.slice(dirs, skip + 1, F.greatest(F.size(dirs) - 1 - skip, F.lit(0)))
     return F.try_element_at(F.filter(inner, lambda s: ~F.lower(s).rlike(CONTEXT_SKIP)), F.lit(1))
+
+
+# Names of the agents that answer each query type.
+AGENT_NAMES = {
+    "find_relevant_context": "Coordinator",
+    "trace_data_flow": "Flow Analyst",
+    "find_invariants": "Invariant Reporter",
+    "describe_architecture": "Architecture Analyst",
+    "find_exemplars": "Exemplar Finder",
+}
+
+
+def agent_label(query_type: Column) -> Column:
+    """Agent of a query type; other types stand for themselves."""
+    name = query_type
+    for kind, label in AGENT_NAMES.items():
+        name = F.when(query_type == kind, label).otherwise(name)
+    return name

@@ -5,7 +5,7 @@ Lists of unbounded length (dependencies of a node, members of a class) stay rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions import labels, paths, text
@@ -66,6 +66,18 @@ def file_clusters(nodes: DataFrame) -> DataFrame:
              F.coalesce((c("top.n") / c("size") < MIXED_SHARE) & (c("n_clusters") > 1), F.lit(False)).alias("mixed"))
 
 
+def ranked_clusters(nodes: DataFrame) -> DataFrame:
+    """Clusters of each file by the number of its nodes in them, ties by id, with their short tag and role; `mixed` as in `file_clusters`.
+
+    A file has a few clusters at most, so its rows are ranked in one window.
+    """
+    named = nodes.where("file_path IS NOT NULL AND cluster_id IS NOT NULL").groupBy("repo_hash", "file_path", "cluster_id").agg(
+        F.count("*").alias("n"), F.coalesce(F.min("cluster_short"), F.lit("CLUSTER")).alias("short"), F.coalesce(F.min("cluster_role"), F.lit("")).alias("role"))
+    order = Window.partitionBy("repo_hash", "file_path").orderBy(F.desc("n"), "cluster_id")
+    mixed = file_clusters(nodes).select("repo_hash", "file_path", "mixed")
+    return named.withColumn("rank", F.row_number().over(order)).join(mixed, ["repo_hash", "file_path"])
+
+
 def file_order(nodes: DataFrame) -> DataFrame:
     """Sort keys of the file view: files by cluster, larger first, unclustered last; inside by type, then label.
 
@@ -238,11 +250,21 @@ def layer_entries(projections: dict[str, tuple[DataFrame, DataFrame]]) -> DataFr
     return out
 
 
+def in_band(invariants: DataFrame, band: str) -> DataFrame:
+    x = c("confidence")
+    return invariants.where({"high": x >= 0.9, "medium": (x >= 0.7) & (x < 0.9), "all": F.lit(True)}[band])
+
+
 def invariant_groups(invariants: DataFrame, band: str = "all") -> DataFrame:
     """Invariants per target in a confidence band (`high` >= 0.9, `medium` 0.7-0.9, `all`)."""
-    x = c("confidence")
-    keep = {"high": x >= 0.9, "medium": (x >= 0.7) & (x < 0.9), "all": F.lit(True)}[band]
-    return invariants.where(keep).groupBy("repo_hash", "target_symbol_id").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+    return in_band(invariants, band).groupBy("repo_hash", "target_symbol_id").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
+
+
+def grouped_invariants(invariants: DataFrame, band: str = "all") -> DataFrame:
+    """The invariants of a confidence band with the size `n` of their target's group; rows stay rows, so a target with very many is no single row."""
+    sizes = invariant_groups(invariants, band).select("repo_hash", "target_symbol_id", "n")
+    kept = in_band(invariants, band)
+    return kept.select("repo_hash", "target_symbol_id", "invariant_id", "text", "source_kind", "source_location", "confidence").join(sizes, ["repo_hash", "target_symbol_id"])
 
 
 def file_tree(files: DataFrame) -> DataFrame:
@@ -278,7 +300,12 @@ def flattened_tree(tree: DataFrame, max_rounds: int = 40) -> DataFrame:
 def activity_rows(activity: DataFrame) -> DataFrame:
     """Log rows of agent activity with the tokens their symbols save."""
     n = F.coalesce("n_symbols", F.lit(0))
-    return activity.select("repo_hash", "activity_id", c("query_type").alias("agent"), n.alias("symbols_returned"), (n * TOKENS_PER_SYMBOL).alias("tokens_saved"))
+    return activity.select("repo_hash", "activity_id", labels.agent_label(c("query_type")).alias("agent"), n.alias("symbols_returned"), (n * TOKENS_PER_SYMBOL).alias("tokens_saved"))
+
+
+def activity_totals(rows: DataFrame) -> DataFrame:
+    """Queries, symbols and saved tokens of each repository's log."""
+    return rows.groupBy("repo_hash").agg(F.count("*").alias("queries"), F.sum("symbols_returned").alias("symbols_returned"), F.sum("tokens_saved").alias("tokens_saved"))
 
 
 def induced_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
