@@ -68,6 +68,22 @@ class EliasFano:
         piece = np.unpackbits(self.low[a // 8 : (a + self.low_bits + 7) // 8], bitorder="little")[a % 8 :][: self.low_bits]
         return ((one - i) << self.low_bits) | int((piece.astype(np.int64) << np.arange(len(piece))).sum())
 
+    def selected(self, a: int, b: int) -> np.ndarray:
+        """`select` of a to b - 1 at once: from the sample before a, over the bits up to the sample behind b."""
+        first = int(self.samples[a // SAMPLE])
+        after = (b - 1) // SAMPLE + 1
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[first // 8 : end // 8 + 1], bitorder="little").copy()
+        bits[: first % 8] = 0
+        i = np.arange(a, b)
+        ones = np.flatnonzero(bits)[a % SAMPLE :][: b - a] + first // 8 * 8
+        if not self.low_bits:
+            return ones - i
+        at = a * self.low_bits
+        packed = np.unpackbits(self.low[at // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: (b - a) * self.low_bits]
+        low = (packed.reshape(b - a, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return ((ones - i) << self.low_bits) | low
+
     def values(self) -> np.ndarray:
         """The whole sequence."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -148,8 +164,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, keep_spaces: bool, en
     encode_documents(docs, vocabulary, keep_spaces, end_id).mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, width, ids) of each document, from the files alone."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document and, if asked for, (width, ids), from the files alone.
+
+    The boundaries of a run of documents are selected from the code; the boundaries of a block are never a table.
+    """
     blocks = spark.read.schema(BLOCK).parquet(path)
     totals = blocks.groupBy("shard", "block").agg(F.sum("n_ids").alias("n"))
     # one row per block of BLOCK_IDS ids; the running sum inside a shard is a window over its few blocks
@@ -170,24 +189,27 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     len(r["doc_ids"]) + 1, r["low_bits"], np.frombuffer(r["low"], np.uint8), np.frombuffer(r["high"], np.uint8),
                     np.asarray(r["samples"], np.int32),
                 )
-                at = code.values()
                 view, raw = memoryview(ids.tobytes()), memoryview(r["ids"])
                 w = r["width"]
                 for a, b in slices(len(r["doc_ids"]), 1024):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r["doc_ids"][a:b], pa.int64()), pa.array(r["base"] + at[a:b], pa.int64()),
-                         pa.array(at[a + 1 : b + 1] - at[a:b], pa.int64()),
-                         pa.array([zlib.crc32(view[4 * at[i] : 4 * at[i + 1]]) for i in range(a, b)], pa.int64()),
-                         pa.array([w] * (b - a), pa.int32()),
-                         pa.array([bytes(raw[w * at[i] : w * at[i + 1]]) for i in range(a, b)], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "width", "ids"],
-                    )
-
-    return blocks.join(placed, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, width int, ids binary")
-
-
-def token_id_files(docs: DataFrame, vocabulary: str, keep_spaces: bool = False, end_id: int = 2, path: str | None = None) -> DataFrame:
+                    at = code.selected(a, b + 1).tolist()
+                    spans = list(zip(at, at[1:]))
+                    columns = [
+                        pa.array(r["doc_ids"][a:b], pa.int64()), pa.array([r["base"] + s for s, _ in spans], pa.int64()),
+                        pa.array([e - s for s, e in spans], pa.int64()), pa.array([zlib.crc32(view[4 * s : 4 * e]) for s, e in spans], pa.int64())]
+                    if with_ids:
+                        columns += [pa.array([w] * (b - a), pa.int32()), pa.array([bytes(raw[w * s : w * e]) for s, e in spans], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", width int, ids binary" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return blocks.join(placed, ["shard", "block"]).mapInArrow(run, schema)
+
+
+def token_id_files(
+    docs: DataFrame, vocabulary: str, keep_spaces: bool = False, end_id: int = 2, path: str | None = None, with_ids: bool = True
+) -> DataFrame:
     """Write the files of `docs` and read them back; an empty table gives files without blocks and no row."""
     path = path or new_path(docs.sparkSession, "token-ids")
     write_ids(docs, path, vocabulary, keep_spaces, end_id)
-    return read_documents(docs.sparkSession, path)
+    return read_documents(docs.sparkSession, path, with_ids)

@@ -53,13 +53,13 @@ class DigestIndex:
 
     def groups(self, rows: DataFrame) -> DataFrame:
         """(digest, group_size, best) of the digests of a batch."""
-        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order")))
+        best = F.min(F.struct((-F.col("n_chars")).alias("order"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
         return rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
 
     def fresh(self, groups: DataFrame) -> DataFrame:
         """(digest, keep_id, n_chars) of the digests that the index does not hold."""
         found = groups.join(self.rows().hint("merge"), "digest", "left_anti")
-        return found.select("digest", (-F.col("best.order")).alias("keep_id"), F.col("best.n_chars").alias("n_chars"))
+        return found.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.order")).alias("n_chars"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Append the new digests of a batch; (doc_id, keep_id, group_size, kept, text_sha256) of every row of it."""
@@ -76,31 +76,35 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     return (index or DigestIndex(docs.sparkSession)).add(docs)
 
 
-def chosen_rows(docs: DataFrame, digest: Column, chosen: DataFrame) -> DataFrame:
+def chosen_rows(docs: DataFrame, digest: Column, chosen: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The row of `docs` for each (doc_id, n_chars, digest) of `chosen`, whose digests are distinct.
 
-    Of rows that share all three the one whose columns are largest stays.
+    Of rows that share all three the one whose columns are largest stays. `known` may give the three of every row, so that
+    copies are counted without another look at the texts. A row travels packed, whatever its columns are called.
     """
-    chosen = stored(chosen.select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_n"), F.col("digest").alias("_key")), "chosen")
-    keys = {"_digest": digest, "_length": F.length(F.coalesce("text", F.lit("")))}
+    chosen = stored(chosen.select(F.col("doc_id").alias("chosen_id"), F.col("n_chars").alias("chosen_n"), F.col("digest").alias("chosen_digest")), "chosen")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), digest.alias("digest"), row)
 
     def among(rows: DataFrame) -> DataFrame:
         # a sort-merge join at every size: the keys grow with the rows, so they are no side to broadcast
-        same = (F.col("_digest") == F.col("_key")) & (F.col("_length") == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        same = (F.col("digest") == F.col("chosen_digest")) & (F.col("n_chars") == F.col("chosen_n")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
         return rows.join(chosen.hint("merge"), same, "left_semi")
 
-    found = among(docs.withColumns(keys))
-    counts = docs.select("doc_id", "text").withColumns(keys).groupBy("doc_id", "_length", "_digest").agg(F.count("*").alias("_copies"))
-    repeated = stored(among(counts.where("_copies > 1")).select("_digest"), "repeated-rows")
+    found = among(keyed)
+    counts = (keyed.drop("row") if known is None else known).groupBy("doc_id", "n_chars", "digest").agg(F.count("*").alias("n"))
+    repeated = stored(among(counts.where("n > 1")).select("digest"), "repeated-rows")
     if repeated.isEmpty():
-        return found.select(*docs.columns)
-    once = found.join(repeated, "_digest", "left_semi").groupBy("_digest").agg(F.max(F.struct(*docs.columns)).alias("_row"))
-    return found.join(repeated, "_digest", "left_anti").select(*docs.columns).unionByName(once.select("_row.*"))
+        return found.select("row.*")
+    once = found.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.max("row").alias("row"))
+    return found.join(repeated, "digest", "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def distinct_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of `docs` that stay, all columns: one for each digest that is new to the index."""
     index = index or DigestIndex(docs.sparkSession)
-    fresh = stored(index.fresh(index.groups(digests(docs))), "fresh-digests")
+    rows = stored(digests(docs), "digests")
+    # stored before the anti-join: raw rows of a frequent digest are summed where they are and do not meet in one task
+    fresh = stored(index.fresh(stored(index.groups(rows), "digest-groups")), "fresh-digests")
     index.append(fresh)
-    return chosen_rows(docs, digest_of("text"), fresh.withColumnRenamed("keep_id", "doc_id"))
+    return chosen_rows(docs, digest_of("text"), fresh.withColumnRenamed("keep_id", "doc_id"), rows)

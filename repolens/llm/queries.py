@@ -47,8 +47,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return elias_fano.token_id_files(docs, vocabulary("word_bpe_49k.json"), keep_spaces=False, end_id=2).select(
-        "doc_id", "start", "n_tokens", "ids_crc32")
+    return elias_fano.token_id_files(docs, vocabulary("word_bpe_49k.json"), keep_spaces=False, end_id=2, with_ids=False)
 
 
 @query()
@@ -223,7 +222,9 @@ WITH given AS (
   FROM given
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, substr(role, 1, 1) AS initial,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last_char FROM broken
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last_char FROM broken
 ), faulty AS (
   SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
       WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,

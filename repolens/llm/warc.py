@@ -70,8 +70,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         (F.sha2("payload", 256) == F.col("key")).alias("intact"))
     records = spark.read.schema("header binary, key string").parquet(f"{path}/records")
     said = F.decode("header", "utf-8")
-    field = lambda name: F.nullif(F.regexp_extract(said, rf"(?m)^{name}: (.*)$", 1), F.lit(""))
-    id_of = lambda name: F.nullif(F.regexp_extract(said, rf"(?m)^{name}: {RECORD_ID}(-?\d*)>$", 1), F.lit("")).cast("long")
+    field = lambda name: F.nullif(F.regexp_extract(said, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    id_of = lambda name: F.nullif(F.regexp_extract(said, rf"\r\n{name}: {RECORD_ID}(-?\d*)>\r\n", 1), F.lit("")).cast("long")
     parsed = records.select(
         "key", "header", id_of("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"),
         field("WARC-Target-URI").alias("url"), id_of("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("said_digest"))

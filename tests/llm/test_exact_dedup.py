@@ -67,3 +67,12 @@ def test_a_batch_that_comes_again_adds_no_row(spark):
     assert distinct_documents(docs, index).count() == 3
     more = docs.unionByName(spark.createDataFrame([(None, "four")], docs.schema))
     assert [tuple(r) for r in distinct_documents(more, index).collect()] == [(None, "four")]
+
+
+def test_clashing_columns_and_the_smallest_long(spark):
+    low = -(1 << 63)
+    schema = "doc_id long, text string, _id string, _length int, _n int, _key string, digest int, n_chars long, row string, chosen_id int"
+    rows = [(low, "same text", "a", 9, 1, "k", 1, 2, "r", 3), (4, "sametext ", "b", 7, 2, "k", 1, 2, "r", 3), (4, "other", "c", 5, 3, "k", 1, 2, "r", 3), (4, "other", "d", 6, 3, "k", 1, 2, "r", 3)]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted(tuple(r) for r in distinct_documents(docs).collect()) == sorted([rows[0], rows[3]])
+    assert {(r.doc_id, r.keep_id) for r in exact_duplicates(docs).collect()} == {(low, low), (4, low), (4, 4)}

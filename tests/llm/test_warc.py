@@ -34,3 +34,11 @@ def test_round_trip_and_revisits(spark):
 
 def test_empty_table(spark):
     assert archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_line_separators_in_a_url_forge_no_field(spark):
+    urls = ["http://a/x WARC-Refers-To: <urn:page:5>", "http://a/\u0085y", "http://a/ WARC-Type: revisit", "http://a/plain"]
+    pages = spark.createDataFrame([(i, u, "small") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in archive_pages(pages).collect()}
+    assert [got[i].url for i in range(4)] == urls
+    assert all(r.refers_to is None and r.record_type == "response" and r.verified for r in got.values())
