@@ -238,6 +238,71 @@ def distinct_documents(docs: DataFrame, width: int = 3, budget: int = BUDGET, tr
     return chosen_rows(docs, digest, chosen)
 
 
+def shingles(text: str | None, width: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def resembling(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """(class, first, text) of the rows of `pairs` (class, first, text, rep_first, rep_text) whose sets of word shingles have a Jaccard similarity under `least` with their representative's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of_held = None, set()
+        for batch in batches:
+            keep = []
+            for text, other in zip(batch.column("text"), batch.column("rep_text")):
+                other = other.as_py()
+                if other != held:
+                    held, of_held = other, shingles(other, width)
+                own = shingles(text.as_py(), width)
+                keep.append(len(own & of_held) < least * len(own | of_held))
+            rows = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("class", "first", "text")], names=["class", "first", "text"])
+
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("class", "first", "text"))
+    return pairs.mapInArrow(run, schema)
+
+
+def distinct_resembling(
+    docs: DataFrame, width: int = 2, budget: int = 8, shingle: int = 5, least: float = 0.8, rounds: int = 4, trie_size: int = TRIE_SIZE
+) -> DataFrame:
+    """`docs` without the rows that resemble one that stays: a Jaccard similarity of `least` over sets of `shingle` words.
+
+    The tries propose classes; in each class the smallest row (doc_id, null last; longest text; SHA-256) stays and the rows
+    that resemble it go, exactly checked on whole texts. Those left over form the class of the next round; what is
+    left after `rounds` stays. So no row goes without a resembling one that stays.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(text, 256)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.length(text).alias("n_chars"), digest.alias("digest"))
+    rows = stored(fingerprints(keyed, width, ["n_chars", "digest"]), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (-F.col("n_chars")).alias("order"), "digest").alias("first")
+    entries = stored(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(order).alias("first")), "entries")
+    parts = stored(classes_of(entries.select("fp"), budget, trie_size)[0], "parts")
+    # classes of one row stay as they are; the members of the others are few, and alone are read with their texts
+    members = entries.join(parts, "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("class"), F.col("component").isNotNull().alias("linked"))
+    many = stored(members.where("linked OR n > 1").select("fp", "class", "n"), "candidates")
+    alone = members.where("NOT linked AND n = 1").select("first")
+    sizes = stored(many.groupBy("class").agg(F.sum("n").alias("n")), "class-sizes")
+    wanted = join_spread(rows, many.select("fp", "class"), "fp", many.select("fp", "n"), "n", "digest").select("class", order)
+    texts = keyed.withColumn("own", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (-F.col("n_chars")).alias("order"), "digest"))
+    keys = stored(wanted.distinct().select("class", "first", F.col("first.digest").alias("key"), F.col("first.doc_id").alias("id")), "class-rows")
+    same = (F.col("digest") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    left = stored(texts.join(keys.hint("merge"), same).select("class", "first", text.alias("text")).dropDuplicates(["class", "first"]), "class-texts")
+    chosen = alone
+    for _ in range(rounds):
+        reps = left.groupBy("class").agg(F.min("first").alias("rep_first"), F.min_by("text", "first").alias("rep_text"))
+        reps = stored(reps, "representatives")
+        chosen = chosen.unionByName(reps.select(F.col("rep_first").alias("first")))
+        pairs = join_spread(left, reps, "class", sizes, "n", "first").where(F.col("first") != F.col("rep_first"))
+        left = stored(resembling(pairs, shingle, least), "left-over")
+        if left.isEmpty():
+            break
+    else:
+        chosen = chosen.unionByName(left.select("first"))
+    return chosen_rows(docs, digest, chosen.select("first.doc_id", (-F.col("first.order")).alias("n_chars"), "first.digest"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = BUDGET, trie_size: int = TRIE_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_links) of every row.
 

