@@ -12,7 +12,7 @@ threshold that is lowered until its window is full or nothing lies below it:
 
 Every shard answers for all anchors, which pass through it in batches; the shards' rows are merged by rank, ties
 to the smaller id. Scores are inner products of floor(scale * x), exact: in doubles where they cannot round, else
-in Python integers (a score beyond a long is given as the nearest long).
+in Python integers (a score beyond a long counts as the nearest long).
 
 Rows with null id, label or vector or a null or non-finite component take no part; vectors of different sizes never
 meet. A row that repeats id, label and vector is the same row; rows that share an id but not the rest are several

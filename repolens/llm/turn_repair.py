@@ -159,7 +159,8 @@ def repair_plans(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     wide = lambda c: c.cast("decimal(38,0)")
     gaps = wide(F.max("turn")) - wide(F.min("turn")) + 1 - wide(F.count_if("new_turn"))
     talks = known.groupBy("conv_id").agg(
-        F.coalesce(F.least(gaps, wide(F.lit((1 << 63) - 1))).cast("long"), F.lit(0).cast("long")).alias("gaps"),
+        # `least` passes over nulls, so the case without any turn comes first
+        F.when(F.max("turn").isNull(), 0).otherwise(F.least(gaps, wide(F.lit((1 << 63) - 1)))).cast("long").alias("gaps"),
         *[count(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")], count(F.col("illegal")).alias("illegal"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "code")))), lambda x: x["code"]), "").alias("codes"))
 

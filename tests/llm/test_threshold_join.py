@@ -54,12 +54,11 @@ def test_odd_rows_ties_and_copies(spark):
 
 
 def test_scores_beyond_doubles_are_exact(spark):
-    big = 2.0**27 + 1
+    big = 2.0**21 + 1  # scores of some 2 ** 58
     rows = [(0, 1, [big, 1.0]), (1, 1, [big, 2.0]), (2, 1, [big, 3.0]), (3, 2, [big * 0.75, 0.0]), (4, 2, [big * 0.75, -1.0])]
     assert mined(spark, rows, lambda i: i == 0) == brute(rows, lambda i: i == 0)
     rows = [(0, 1, [1e200, 1.0]), (1, 1, [1e200, 0.0]), (2, 2, [0.9e200, 0.0])]
-    top = (1 << 63) - 1
-    assert mined(spark, rows, lambda i: i == 0) in ([], [(0, 1, 1, 2, top, top)])
+    assert mined(spark, rows, lambda i: i == 0) == []  # all count as the largest long, so none is below 95 percent of another
 
 
 def test_empty_table(spark):

@@ -119,7 +119,7 @@ def test_repaired_rows_follow_the_pattern(spark):
     placed = tr.placed(frame(spark, rows))
     plans = tr.repair_plans(placed)
     out = tr.repaired(placed, plans).orderBy("conv_id", "place").collect()
-    assert [(r.conv_id, r.edit, r.role, r.text) for r in out if r.conv_id == 2] == [(2, "K", "system", "s."), (2, "I", "user", ""), (2, "K", "assistant", "x.")]
+    assert [(r.conv_id, r.edit, r.role, r.text) for r in out if r.conv_id == 2] == [(2, "R", "user", "s."), (2, "K", "assistant", "x.")]
     assert {r.conv_id: r.audit for r in plans.collect()} == {1: cheapest("uuOa")[1], 2: cheapest("sa")[1]}
 
 
