@@ -107,8 +107,10 @@ FILES = {
     "/w/c.py": "def leaf(x):\n    return check_password(x)\n\ndef check_password(x):\n    return x\n",
 }
 EDITS = [
-    {"/w/b.py": "from c import leaf\n\ndef mid(x):\n    return other(x)\n\ndef other(x):\n    return leaf(x)\n"},
-    {"/w/c.py": None, "/w/d.py": "from b import mid\n\nclass Box:\n    def run(self):\n        return mid(self)\n"},
+    {
+        "/w/b.py": "from c import leaf\n\ndef mid(x):\n    return other(x)\n\ndef other(x):\n    return leaf(x)\n", "/w/c.py": None,
+        "/w/d.py": "from b import mid\n\nclass Box:\n    def run(self):\n        return mid(self)\n",
+    },
     {"/w/c.py": FILES["/w/c.py"]},
 ]
 
