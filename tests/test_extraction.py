@@ -165,3 +165,35 @@ def test_scan_never_opens_pruned_or_oversized_files(spark, tmp_path):
         assert (report.parsed, report.failed) == (1, 1)
     finally:
         spark.conf.set(limit, before)
+
+
+def test_index_of_call_texts_has_one_row_for_names_that_end_alike(spark):
+    """A last part that every name shares met every name, once for each call."""
+    n = 2000
+    names = spark.range(n).select(F.lit("r").alias("repo_hash"), F.format_string("m%05d.fn", "id").alias("qualified_name"),
+                                  F.format_string("s%05d", "id").alias("symbol_id"), F.col("id").alias("seq"), F.lit("/a.py").alias("file_path"))
+    calls = names.select("repo_hash", F.col("qualified_name").alias("call_text")).unionByName(
+        spark.createDataFrame([("r", "x.fn"), ("r", "fn"), ("r", "gone")], "repo_hash string, call_text string"))
+    found = invariants.resolve_calls(calls, names)
+    got = {r.call_text: r.target_symbol_id for r in found.collect()}
+    assert got == {f"m{i:05d}.fn": f"s{i:05d}" for i in range(n)} | {"x.fn": "s00000", "fn": "s00000"}
+    plan = found._jdf.queryExecution().executedPlan()
+    assert largest_output(plan) <= 4 * n + 10
+
+
+def largest_output(plan):
+    """Most rows that a join of the finished plan gave."""
+    found, stack = [0], [plan]
+    while stack:
+        node = stack.pop()
+        if "Adaptive" in node.nodeName():
+            stack.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+            continue
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return max(found)
