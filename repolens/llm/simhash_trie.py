@@ -24,7 +24,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.operators.graphs import connected_components
@@ -243,8 +243,8 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def resembling(pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """(class, first, text) of the rows of `pairs` (class, first, text, rep_first, rep_text) whose sets of word shingles have a Jaccard similarity under `least` with their representative's."""
+def resembling(pairs: DataFrame, width: int, least: float, columns: Sequence[str], alike: bool) -> DataFrame:
+    """`columns` of the rows of `pairs` whose `text` and `rep_text` have sets of word shingles with a Jaccard similarity of at least `least` (`alike`) or under it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of_held = None, set()
@@ -255,22 +255,101 @@ def resembling(pairs: DataFrame, width: int, least: float) -> DataFrame:
                 if other != held:
                     held, of_held = other, shingles(other, width)
                 own = shingles(text.as_py(), width)
-                keep.append(len(own & of_held) < least * len(own | of_held))
-            rows = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("class", "first", "text")], names=["class", "first", "text"])
+                keep.append((len(own & of_held) >= least * len(own | of_held)) == alike)
+            rows = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in columns], names=list(columns))
 
-    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("class", "first", "text"))
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in columns)
     return pairs.mapInArrow(run, schema)
 
 
+def shingle_hashes(rows: DataFrame, width: int) -> DataFrame:
+    """(class, row, n, token): the distinct hashed shingles of each text and their number; a text without words has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tokens, held = [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                found = {xxhash.xxh64_intdigest(x, 42) for x in shingles(text.as_py(), width) or (b"",)}
+                at.append(np.array([i, len(found)], np.int64))
+                tokens.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+                held += len(found)
+                if held >= WALK_ENTRIES or i == len(batch) - 1:
+                    numbers, counts = np.array(at).T
+                    which = pa.array(np.repeat(numbers, counts))
+                    columns = [batch.column("class").take(which), batch.column("row").take(which), pa.array(np.repeat(counts, counts)), pa.array(np.concatenate(tokens))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["class", "row", "n", "token"])
+                    at, tokens, held = [], [], 0
+
+    return rows.select("class", "row", "text").mapInArrow(run, f"class {rows.schema['class'].dataType.simpleString()}, row long, n long, token long")
+
+
+def rare_tokens(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """(token, row): the shingles on which the rows (class, row, text) of a class that resemble each other meet.
+
+    Two sets with a similarity of `least` share one of the first n - ceil(least * n) + 1 shingles of either in any common
+    order. Here the rarest of the class come first: those of one row alone fill these places and meet nothing.
+    """
+    sizes = stored(rows.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "row-counts")
+    several = join_spread(rows, sizes.select("class"), "class", sizes, "n", "row")
+    tokens = stored(shingle_hashes(several, width).select("row", "n", F.xxhash64("class", "token").alias("token")), "shingles")
+    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "shared-shingles")
+    held = join_spread(tokens, shared, "token", shared, "rows", "row")
+    of_row = Window.partitionBy("row")
+    placed = held.select("row", "n", "token", F.row_number().over(of_row.orderBy("rows", "token")).alias("place"), F.count("*").over(of_row).alias("n_shared"))
+    places = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    return stored(placed.where(F.col("place") <= places - (F.col("n") - F.col("n_shared"))).select("token", "row"), "rare-shingles")
+
+
+def settled(left: DataFrame, width: int, least: float) -> DataFrame:
+    """`first` of the rows of `left` (class, first, text) that stay: in order, a row of a class goes if one that stays resembles it.
+
+    Rows that resemble each other share a token (`rare_tokens`). A row that is first under all of its tokens stays, and those
+    under its tokens that resemble it go; so a large group of copies meets its first row alone. Once few pairs are left under the
+    tokens (or that does not lessen them) all of them are checked, and the same rounds run over the pairs that resemble each other.
+    """
+    # of equal texts the first decides for all; numbers in the order of the rows
+    once = left.groupBy("class", F.col("first.digest").alias("digest")).agg(F.min("first").alias("first"), F.min_by("text", "first").alias("text"))
+    rows = stored(once.orderBy("first").select("class", "first", "text", F.monotonically_increasing_id().alias("row")), "ordered-rows")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        sizes = stored(pairs.groupBy("head").agg(F.count("*").alias("n")), "pair-counts")
+        heads = rows.select(F.col("row").alias("head"), F.col("class").alias("rep_class"), F.col("text").alias("rep_text"))
+        both = join_spread(pairs.join(rows.select("row", "class", "text"), "row"), heads, "head", sizes, "n", "row")
+        return resembling(both.where("class <=> rep_class"), width, least, ("row", "head"), True)
+
+    met, checked, before, gone = rare_tokens(rows, width, least), False, None, None
+    while True:
+        groups = stored(met.groupBy("token").agg(F.count("*").alias("n"), F.min("row").alias("head")).where("n > 1"), "token-groups")
+        total, pairs = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not total:
+            return (rows if gone is None else rows.join(gone, "row", "left_anti")).select("first")
+        if not checked and (pairs <= 8 * total or (before is not None and pairs > 0.9 * before)):
+            found = stored(alike(met.join(met.withColumnRenamed("row", "head"), "token").where("head < row").select("row", "head")), "alike")
+            numbered = found.withColumn("token", F.monotonically_increasing_id())
+            met, checked = stored(numbered.select("token", F.explode(F.array("head", "row")).alias("row")), "alike-rows"), True
+            continue
+        before = pairs
+        led = join_spread(met, groups.select("token", "head"), "token", groups.select("token", "n"), "n", "row")
+        behind = led.where("head < row").select("row").distinct()
+        heads = stored(led.select("row").distinct().join(behind, "row", "left_anti"), "first-rows")
+        leading = groups.join(heads.withColumnRenamed("row", "head"), "head", "left_semi").select("token", "head")
+        below = join_spread(met, leading, "token", groups.select("token", "n"), "n", "row").where("head < row").select("row", "head")
+        lost = stored((below if checked else alike(below)).select("row").distinct(), "lost-rows")
+        gone = lost if gone is None else stored(gone.unionByName(lost), "gone-rows")
+        met = stored(met.join(heads.unionByName(lost), "row", "left_anti"), "open-rows")
+
+
 def distinct_resembling(
     docs: DataFrame, width: int = 2, budget: int = 8, shingle: int = 5, least: float = 0.8, rounds: int = 4, trie_size: int = TRIE_SIZE
 ) -> DataFrame:
     """`docs` without the rows that resemble one that stays: a Jaccard similarity of `least` over sets of `shingle` words.
 
-    The tries propose classes; in each class the smallest row (doc_id, null last; longest text; SHA-256) stays and the rows
-    that resemble it go, exactly checked on whole texts. Those left over form the class of the next round; what is
-    left after `rounds` stays. So no row goes without a resembling one that stays.
+    The tries propose classes; in each class rows are taken in order (doc_id, null last; longest text; SHA-256), and a row goes
+    if one that stays resembles it, exactly checked on whole texts. The first `rounds` rows that stay meet all others of
+    their class; what those leave is settled by a similarity join (`settled`). So no row goes without a resembling
+    one that stays, and of two rows of a class that resemble each other one goes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(text, 256)
@@ -295,11 +374,11 @@ def distinct_resembling(
         reps = stored(reps, "representatives")
         chosen = chosen.unionByName(reps.select(F.col("rep_first").alias("first")))
         pairs = join_spread(left, reps, "class", sizes, "n", "first").where(F.col("first") != F.col("rep_first"))
-        left = stored(resembling(pairs, shingle, least), "left-over")
+        left = stored(resembling(pairs, shingle, least, ("class", "first", "text"), False), "left-over")
         if left.isEmpty():
             break
     else:
-        chosen = chosen.unionByName(left.select("first"))
+        chosen = chosen.unionByName(settled(left, shingle, least))
     return chosen_rows(docs, digest, chosen.select("first.doc_id", (-F.col("first.order")).alias("n_chars"), "first.digest"))
 
 

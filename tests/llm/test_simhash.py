@@ -160,3 +160,27 @@ def test_resembling_rows_go_and_others_stay(spark):
     pairs = [(a, b) for a, b in near if alike(dict((r[0], s) for r, s in sets)[a], dict((r[0], s) for r, s in sets)[b])]
     assert sum(b not in ids for _, b in pairs) >= 0.8 * len(pairs) > 0
     assert distinct_resembling(docs.limit(0)).count() == 0
+
+
+def test_no_row_of_a_large_class_stays_beside_one_it_resembles(spark):
+    import random
+
+    from repolens.llm.simhash_trie import distinct_resembling, shingles
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    # one repeated word decides the fingerprint: all rows are one class of 25 unlike texts with four versions each
+    bases = [[word() for _ in range(40)] for _ in range(25)]
+    versions = [[(100 * k + g, " ".join(["again"] * 200 + base[: 40 - 2 * k] + [word() for _ in range(2 * k)])) for g, base in enumerate(bases)] for k in range(4)]
+    crowd = [(7000 + i, " ".join(["again"] * 200 + bases[20][:39] + [word()])) for i in range(120)]  # more than its pairs are worth checking
+    rows = sum(versions, []) + crowd + [(5000 + i, None if i % 2 else "") for i in range(5)] + [(6000, versions[0][9][1]), (None, versions[0][11][1])]
+    sets, kept = {}, []
+    for row in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        sets[row] = own = shingles(row[1], 5)
+        if not any(len(own & sets[k]) >= 0.8 * len(own | sets[k]) for k in kept):
+            kept.append(row)
+    assert len({r[0] for r in kept if r[0] is not None and r[0] < 100}) == 25 < len(kept) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (4, 0):
+        got = [(r.doc_id, r.text) for r in distinct_resembling(docs, rounds=rounds).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, kept)), rounds
