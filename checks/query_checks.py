@@ -210,7 +210,7 @@ def g15(t):
 WITH {FLOW_NODES} SELECT DISTINCT s.repo_hash, s.file_path, n.flow_id FROM fx_symbols s JOIN node n ON n.symbol_id = s.symbol_id""")
 def g16(t):
     ids = t.symbols.select(c("file_path").alias("query_id"), "repo_hash", "symbol_id")
-    return lookups.flows_touching(ids, t.flows).withColumnRenamed("query_id", "file_path")
+    return lookups.flows_touching(ids, t.flows_once).withColumnRenamed("query_id", "file_path")
 
 
 @check("g17_flow_payloads", f"""
@@ -236,26 +236,26 @@ def g18(t):
 
 @check("g19_invariants_of_symbols", "SELECT i.invariant_id, i.confidence FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id WHERE confidence >= 0.5")
 def g19(t):
-    return lookups.invariants_of_symbols(t.symbols, t.invariants, 0.5).select("invariant_id", "confidence")
+    return lookups.invariants_of_symbols(t.symbols, t.plain("fx_invariants"), 0.5).select("invariant_id", "confidence")
 
 
 @check("g20_invariants_per_symbol", """
 SELECT i.target_symbol_id, count(*) AS n, max(confidence) AS best FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id JOIN fx_requests r ON r.symbol = s.qualified_name AND r.query_id = (SELECT min(query_id) FROM fx_requests r2 WHERE r2.symbol = s.qualified_name AND r2.repo_hash = s.repo_hash) GROUP BY ALL""")
 def g20(t):
     ids = lookups.symbols_by_name(t.requests, t.symbols)
-    rows = lookups.invariants_of_symbols(ids, t.invariants)
+    rows = lookups.invariants_of_symbols(ids, t.plain("fx_invariants"))
     return rows.groupBy("target_symbol_id").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
 
 @check("g21_invariants_of_files", """
 SELECT i.invariant_id FROM fx_invariants i JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id WHERE (s.repo_hash, s.file_path) IN (SELECT (repo_hash, path) FROM fx_requests)""")
 def g21(t):
-    return lookups.invariants_of_files(t.requests, t.invariants, t.symbols).select("invariant_id")
+    return lookups.invariants_of_files(t.requests, t.plain("fx_invariants"), t.symbols).select("invariant_id")
 
 
 @check("g22_invariants_of_clusters", f"WITH a AS ({INV_AT}) SELECT invariant_id FROM a WHERE confidence >= 0.5 AND (repo_hash, cluster_id) IN (SELECT (repo_hash, cluster_id) FROM fx_requests)")
 def g22(t):
-    return lookups.invariants_of_clusters(t.requests, t.invariants, t.symbols, t.files, 0.5).select("invariant_id")
+    return lookups.invariants_of_clusters(t.requests, t.plain("fx_invariants"), t.symbols, t.files, 0.5).select("invariant_id")
 
 
 @check("g23_invariant_payloads", "SELECT i.invariant_id, coalesce(s.qualified_name, '') AS target_symbol, i.text, i.source_kind, i.source_location, i.confidence FROM fx_invariants i LEFT JOIN fx_symbols s ON s.symbol_id = i.target_symbol_id")

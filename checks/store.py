@@ -145,7 +145,7 @@ def a17(t):
 @check("a18_append_invariants_default_time", """
 SELECT invariant_id, CASE WHEN source_kind = 'test' THEN '2023-05-05 00:00:00' ELSE '2024-02-02 00:00:00' END AS extracted_at FROM fx_invariants""")
 def a18(t):
-    rows = t.invariants.withColumn("extracted_at", F.when(F.col("source_kind") == "test", F.lit("2023-05-05").cast("timestamp")))
+    rows = t.plain("fx_invariants").withColumn("extracted_at", F.when(F.col("source_kind") == "test", F.lit("2023-05-05").cast("timestamp")))
     out = tb.append(rows.limit(0), rows, {"extracted_at": F.lit("2024-02-02").cast("timestamp")})
     return out.select("invariant_id", F.col("extracted_at").cast("string").alias("extracted_at"))
 
@@ -191,7 +191,7 @@ def a21(t):
 
 @check("a22_reset_invariants", f"SELECT invariant_id FROM fx_invariants WHERE repo_hash NOT IN (SELECT repo_hash FROM ({GONE}) h)")
 def a22(t):
-    return tb.without_repos(t.invariants, t.sql(GONE)).select("invariant_id")
+    return tb.without_repos(t.plain("fx_invariants"), t.sql(GONE)).select("invariant_id")
 
 
 @check("a23_delete_repo", f"""
@@ -216,8 +216,8 @@ UNION ALL SELECT repo_hash, 'cluster_dependencies', count(*) FROM fx_cluster_dep
 UNION ALL SELECT repo_hash, 'invariants', count(*) FROM fx_invariants GROUP BY repo_hash""")
 def a24(t):
     return tb.layer_counts({
-        "symbols": t.symbols, "flows": t.flows, "clusters": t.clusters,
-        "cluster_dependencies": t.cluster_deps, "invariants": t.invariants})
+        "symbols": t.symbols, "flows": t.flows_once, "clusters": t.clusters,
+        "cluster_dependencies": t.cluster_deps, "invariants": t.plain("fx_invariants")})
 
 
 LISTING = """SELECT page_id, concat(CASE page_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/.cache/' WHEN 2 THEN 'a/__pycache__/b/' WHEN 3 THEN 'src/node_modules_x/' ELSE 'src/' END,
