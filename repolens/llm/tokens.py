@@ -7,6 +7,7 @@ new ones go to the tokenizers library together, a special token between them.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -35,6 +36,14 @@ def latin_word(piece: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) <= LAST_LATIN and "\u0130" not in word)
 
 
+def latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceEncoder:
     """`keep_spaces`: the format has a space in front of a word as part of its token (else spaces are dropped)."""
 
@@ -47,8 +56,11 @@ class PieceEncoder:
         self.keep_spaces = keep_spaces
         specials = sorted((t.content, i) for i, t in self.cutting.get_added_tokens_decoder().items() if t.special)
         self.separator, self.separator_id = specials[0]
-        #: In a format without case, ASCII texts are lower-cased first: fewer pieces, same ids.
+        #: In a format without case, texts of Latin-1 are lower-cased first: fewer pieces, same ids.
         self.caseless = "Lowercase" in str(self.plain.normalizer)
+        self.lines_are_spaces = not keep_spaces and all(
+            self.plain.encode(x, add_special_tokens=False).ids == self.plain.encode(x.replace("\n", " "), add_special_tokens=False).ids
+            for x in ("a\nb", "it\n's 1\n2", "end.\n\n- \nnext", "\n", "\nx\n"))
         self.model = self.plain.model
         self.direct = self.words_are_pieces()
         self.forget()
@@ -168,8 +180,13 @@ class PieceEncoder:
             self.remember(composed, ids, np.diff(np.concatenate([[0], ends[1::2]])))
 
     def pieces(self, text: str) -> list[str]:
-        out = (text.lower() if self.caseless and text.isascii() else text).split(" ")
-        out[0] = FIRST + out[0]
+        if self.caseless and latin_1(text):
+            text = text.lower()
+        if self.lines_are_spaces:
+            text = text.replace("\n", " ")
+        out = text.split(" ")
+        if self.keep_spaces:
+            out[0] = FIRST + out[0]
         return out
 
     def odd(self, pieces: list[str]) -> set[str]:
@@ -194,7 +211,16 @@ class PieceEncoder:
         return np.concatenate(parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null is the empty text."""
+        """Ids of each text; null is the empty text. No cycles arise here, so the many lists are not searched for them."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > CACHED_PIECES:
             self.shrink()
         texts = [t or "" for t in texts]

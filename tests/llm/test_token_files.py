@@ -106,3 +106,16 @@ def test_packing_loses_nothing(odd_docs, no_docs):
             ids = np.concatenate([np.frombuffer(p.ids, f"<u{p.width}").astype("<u4") for p in pieces])
             assert (len(ids), zlib.crc32(ids.tobytes())) == want[key][0] and [p.start for p in pieces] == np.cumsum([0, *(p.length for p in pieces[:-1])]).tolist()
     assert pack(no_docs, pub.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_lines_and_latin_cases_are_no_pieces_of_their_own():
+    import public_tokenizers
+
+    tool = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = ["one end.\nNext Wörter\n\nÉcole it\n's", "next école END. wörter 's", "\nİx\nΣΑΣ ŕ\n", "\n"]
+    want = [tool.plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tool.encode(texts[:2])] == want[:2]
+    assert not any("\n" in p or p != p.lower() for p in tool.index) and len(tool.index) < 12
+    assert [x.tolist() for x in tool.encode(texts)] == want
+    spaced = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    assert [x.tolist() for x in spaced.encode(texts)] == [spaced.plain.encode(t, add_special_tokens=False).ids for t in texts]
