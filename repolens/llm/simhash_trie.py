@@ -31,7 +31,7 @@ from repolens.operators.graphs import connected_components
 
 from .common import join_spread, shuffle_width, stored
 from .exact_dedup import chosen_rows
-from .tokens import slices
+from .tokens import release, slices
 
 BUDGET = 3
 TRIE_SIZE = 4096
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3, more: Sequence[str] = ()) -> D
     """(doc_id, fp, more): the bits as a signed long, and columns that go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
@@ -284,21 +285,54 @@ def shingle_hashes(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("class", "row", "text").mapInArrow(run, f"class {rows.schema['class'].dataType.simpleString()}, row long, n long, token long")
 
 
-def rare_tokens(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """(token, row): the shingles on which the rows (class, row, text) of a class that resemble each other meet.
+def shared_least(n: Column, other: Column, least: float) -> Column:
+    """The tokens that sets of `n` and `other` tokens share at least when their similarity is `least`."""
+    return F.ceil((n + other) * (least / (1 + least)) - 1e-9)
 
-    Two sets with a similarity of `least` share one of the first n - ceil(least * n) + 1 shingles of either in any common
-    order. Here the rarest of the class come first: those of one row alone fill these places and meet nothing.
+
+def rare_tokens(rows: DataFrame, width: int, least: float, rounds: int = 8) -> DataFrame:
+    """(token, row, n, place): the shingles on which the rows (class, row, text) of a class that resemble each other meet.
+
+    A row whose shingles in other rows are fewer than its smallest possible partner asks for resembles none; without it other
+    shingles are those of one row alone, so this is repeated while it drops a tenth of the rows. Two sets that share s tokens
+    share one of the first n - s + 1 of each in any common order. Here the rarest of the class come first: those of one
+    row alone fill these places and meet nothing.
     """
     sizes = stored(rows.groupBy("class").agg(F.count("*").alias("n")).where("n > 1"), "row-counts")
     several = join_spread(rows, sizes.select("class"), "class", sizes, "n", "row")
-    tokens = stored(shingle_hashes(several, width).select("row", "n", F.xxhash64("class", "token").alias("token")), "shingles")
-    shared = stored(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "shared-shingles")
-    held = join_spread(tokens, shared, "token", shared, "rows", "row")
-    of_row = Window.partitionBy("row")
-    placed = held.select("row", "n", "token", F.row_number().over(of_row.orderBy("rows", "token")).alias("place"), F.count("*").over(of_row).alias("n_shared"))
-    places = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    return stored(placed.where(F.col("place") <= places - (F.col("n") - F.col("n_shared"))).select("token", "row"), "rare-shingles")
+    hashed = shingle_hashes(several, width).select("class", "row", "n", F.xxhash64("class", "token").alias("token"))
+    tokens = stored(hashed, "shingles")
+    while True:
+        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "shared-shingles")
+        held = join_spread(tokens, shared, "token", shared, "rows", "row")
+        counted = stored(tokens.groupBy("class", "row").agg(F.max("n").alias("n")), "open-row-sizes")
+        smallest = stored(counted.groupBy("class").agg(F.count("*").alias("rows"), F.min("n").alias("smallest")), "smallest-rows")
+        partner = F.greatest(F.col("smallest"), F.ceil(F.col("n") * least - 1e-9))
+        asked = join_spread(counted, smallest.drop("rows"), "class", smallest, "rows", "row").select("row", shared_least(F.col("n"), partner, least).alias("asked"))
+        open_ = held.groupBy("row").agg(F.count("*").alias("n_shared")).join(asked, "row").where("n_shared >= asked")
+        rounds -= 1
+        if not rounds or open_.count() > 0.9 * counted.count():
+            break
+        tokens = stored(held.drop("rows").join(open_.select("row"), "row", "left_semi"), "open-shingles")
+    placed = held.join(open_, "row").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("rows", "token")) + F.col("n") - F.col("n_shared"))
+    return stored(placed.where("place <= n - asked + 1").select("token", "row", "n", "place"), "rare-shingles")
+
+
+def near_pairs(met: DataFrame, least: float) -> DataFrame:
+    """(row, head) with head < row: rows of `rare_tokens` that share a token at places which their sizes allow, once for each such token.
+
+    A place asks for a partner of at most some size, so tokens are met by bands of sizes: rows of late places meet short rows alone.
+    """
+    step = max(-math.log(least), 0.2) / 4
+    reach = math.ceil(-math.log(least) / step) + 1
+    band = F.floor(F.log("n") / step).cast("int")
+    sides = met.withColumn("band", band).withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).where("other >= 0")
+    from_ = F.greatest(F.floor(F.exp(F.col("other") * step) - 1e-6), F.lit(1))
+    sides = sides.where(F.col("place") <= F.col("n") - shared_least(F.col("n"), from_, least) + 1)
+    heads = sides.select("token", F.col("other").alias("band"), F.col("band").alias("other"), F.col("row").alias("head"), F.col("n").alias("head_n"), F.col("place").alias("head_place"))
+    asked = shared_least(F.col("n"), F.col("head_n"), least)
+    near = (F.col("place") <= F.col("n") - asked + 1) & (F.col("head_place") <= F.col("head_n") - asked + 1)
+    return sides.join(heads, ["token", "band", "other"]).where((F.col("head") < F.col("row")) & near).select("row", "head")
 
 
 def settled(left: DataFrame, width: int, least: float) -> DataFrame:
@@ -306,7 +340,8 @@ def settled(left: DataFrame, width: int, least: float) -> DataFrame:
 
     Rows that resemble each other share a token (`rare_tokens`). A row that is first under all of its tokens stays, and those
     under its tokens that resemble it go; so a large group of copies meets its first row alone. Once few pairs are left under the
-    tokens (or that does not lessen them) all of them are checked, and the same rounds run over the pairs that resemble each other.
+    tokens (or that does not lessen them) all that the places of their tokens allow are checked, and the same rounds run over the
+    pairs that resemble each other.
     """
     # of equal texts the first decides for all; numbers in the order of the rows
     once = left.groupBy("class", F.col("first.digest").alias("digest")).agg(F.min("first").alias("first"), F.min_by("text", "first").alias("text"))
@@ -326,7 +361,7 @@ def settled(left: DataFrame, width: int, least: float) -> DataFrame:
         if not total:
             return (rows if gone is None else rows.join(gone, "row", "left_anti")).select("first")
         if not checked and (pairs <= 8 * total or (before is not None and pairs > 0.9 * before)):
-            found = stored(alike(met.join(met.withColumnRenamed("row", "head"), "token").where("head < row").select("row", "head")), "alike")
+            found = stored(alike(near_pairs(met, least)), "alike")
             numbered = found.withColumn("token", F.monotonically_increasing_id())
             met, checked = stored(numbered.select("token", F.explode(F.array("head", "row")).alias("row")), "alike-rows"), True
             continue

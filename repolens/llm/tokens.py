@@ -265,5 +265,10 @@ def encoder(path: str, keep_spaces: bool) -> PieceEncoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Let go of the encoders of a worker that goes on to other work."""
+    _encoders.clear()
+
+
 def slices(n: int, step: int) -> Iterator[tuple[int, int]]:
     return ((a, min(n, a + step)) for a in range(0, n, step))

@@ -184,3 +184,36 @@ def test_no_row_of_a_large_class_stays_beside_one_it_resembles(spark):
     for rounds in (4, 0):
         got = [(r.doc_id, r.text) for r in distinct_resembling(docs, rounds=rounds).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, kept)), rounds
+
+
+def test_unlike_rows_of_a_large_class_list_few_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from repolens.llm.simhash_trie import near_pairs, rare_tokens, settled, shingles
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows, sets = [word() for _ in range(150)], [], []
+    # versions of one text, most of them too far from each other; a few near ones and short ones
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice((5, 6)) if i % 15 else 1):
+            text[at] = word()
+        rows.append((i, " ".join(text[: 150 if i % 20 != 7 else 126])))
+    rows += [(300 + i, " ".join(word() for _ in range(8)) if i % 2 else "") for i in range(6)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    left = docs.select(F.lit(1).alias("class"), F.struct(
+        F.lit(False).alias("no_id"), F.col("id").alias("doc_id"), (-F.length("text")).alias("order"), F.sha2("text", 256).alias("digest")).alias("first"), "text")
+    kept, texts = [], set()
+    for i, text in rows:
+        own = shingles(text, 5)
+        if text not in texts and not any(len(own & k) >= 0.8 * len(own | k) for k in sets):
+            kept.append(i)
+            sets.append(own)
+        texts.add(text)
+    got = sorted(r.first.doc_id for r in settled(left, 5, 0.8).collect())
+    assert got == kept and 150 < len(kept) < 300
+    met = rare_tokens(docs.withColumnRenamed("id", "row").withColumn("class", F.lit(1)), 5, 0.8)
+    assert near_pairs(met, 0.8).count() < 20 * len(rows)
