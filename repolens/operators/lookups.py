@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ranking
-from .ranked import first_by, spread_join, top_rows
+from repolens.functions import vectors
+
+from . import ranking, search
+from .ranked import fan_out, first_by, spread_join, top_rows
 
 TOP_EXEMPLARS = 5
 
@@ -229,11 +231,18 @@ def find_exemplars(
 ) -> DataFrame:
     """Best five files of the requested cluster by their best symbol; without symbols its first five files.
 
-    Requests for the same cluster and task share one scoring. A vector only adds to a score, so the best files of a
+    Requests for the same cluster and task share one scoring, and tasks of a cluster with the same vector too. A vector only adds to a score, so the best files of a
     cluster without vectors, ranked once for all tasks, and the files of symbols with a vector hold the best of each task.
+    Vectors meet on the cluster and give their score there, so no vector is repeated for each pair.
     """
     asked = requests.select("query_id", "repo_hash", "cluster_id", F.coalesce("question", F.lit("")).alias("task"))
     once = asked.groupBy("repo_hash", "cluster_id", "task").agg(F.min("query_id").alias("lead"))
+    leads = once.join(asked, ["repo_hash", "cluster_id", "task"]).select("query_id", "lead")
+    use_vectors = embeddings is not None and query_vectors is not None
+    once, askers = search.equal_tasks(
+        once.select(c("lead").alias("query_id"), "repo_hash", "cluster_id"), ["repo_hash", "cluster_id"], query_vectors if use_vectors else None)
+    once = once.withColumnRenamed("query_id", "lead")
+    leads = leads.join(askers.select(c("query_id").alias("lead"), c("lead").alias("_first")), "lead").select("query_id", c("_first").alias("lead"))
     members = files.where("cluster_id IS NOT NULL").select("repo_hash", "cluster_id", "file_path")
     symbols = symbols.select("repo_hash", "file_path", "symbol_id")
     inside = members.join(symbols, ["repo_hash", "file_path"]).withColumn("task_type", F.lit("modify existing"))
@@ -241,12 +250,12 @@ def find_exemplars(
     plain = ranking.combine(inside, signals).groupBy("repo_hash", "cluster_id", "file_path").agg(F.max("score").alias("score"))
     plain = top_rows(plain, ["repo_hash", "cluster_id"], order, TOP_EXEMPLARS).drop("rank")
     scored = once.join(plain, ["repo_hash", "cluster_id"]).select(c("lead").alias("query_id"), "repo_hash", "file_path", "score")
-    if embeddings is not None and query_vectors is not None:
-        asking = once.join(query_vectors.select(c("query_id").alias("lead")), "lead", "left_semi")
-        held = inside.join(embeddings.select("repo_hash", "symbol_id"), ["repo_hash", "symbol_id"], "left_semi")
-        near = asking.join(held, ["repo_hash", "cluster_id"]).select(
-            c("lead").alias("query_id"), "repo_hash", "file_path", "symbol_id", "task_type")
-        near = ranking.combine(near, signals, ranking.embedding_similarity(near, embeddings, query_vectors))
+    if use_vectors:
+        asking = once.join(query_vectors.select(c("query_id").alias("lead"), "query_vector"), "lead")
+        held = inside.join(embeddings.select("repo_hash", "symbol_id", "embedding"), ["repo_hash", "symbol_id"]).join(signals, ["repo_hash", "symbol_id"], "left")
+        near = spread_join(asking, held, ["repo_hash", "cluster_id"], ["symbol_id"]).withColumns({
+            "query_id": c("lead"), "embedding_similarity": vectors.cosine(c("embedding"), c("query_vector")), "co_change_correlation": F.lit(0.0)})
+        near = ranking.scored(near)
         scored = scored.unionByName(near.select("query_id", "repo_hash", "file_path", "score"))
     scored = scored.groupBy("query_id", "repo_hash", "file_path").agg(F.max("score").alias("score"))
     best = top_rows(scored, ["query_id", "repo_hash"], order, TOP_EXEMPLARS).withColumn(
@@ -257,5 +266,4 @@ def find_exemplars(
     first = top_rows(bare.select(c("lead").alias("query_id"), "repo_hash", "file_path"), ["query_id", "repo_hash"], [c("file_path")], TOP_EXEMPLARS)
     shown = best.select("query_id", "repo_hash", "file_path", "rank", "reason").unionByName(
         first.withColumn("reason", F.lit("cluster member")))
-    leads = once.join(asked, ["repo_hash", "cluster_id", "task"]).select("query_id", "lead")
-    return leads.join(shown.withColumnRenamed("query_id", "lead"), "lead").select("query_id", "repo_hash", "rank", "file_path", "reason")
+    return fan_out(leads, shown.withColumnRenamed("query_id", "lead"), "lead").select("query_id", "repo_hash", "rank", "file_path", "reason")

@@ -141,7 +141,11 @@ def combine(
         else:
             part = df.select("query_id", "repo_hash", "symbol_id", c("value").alias(name))
             rows = rows.join(part, ["query_id", "repo_hash", "symbol_id"], "left")
-    rows = rows.join(signals, ["repo_hash", "symbol_id"], "left")
+    return scored(rows.join(signals, ["repo_hash", "symbol_id"], "left"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Rows `(task_type, <five signals>)` with their score; a missing signal counts as 0."""
     rows = rows.fillna(0.0, list(SIGNALS)).withColumn("embedding_similarity", F.greatest(F.lit(0.0), c("embedding_similarity")))
     score = F.lit(0.0)
     for name in SIGNALS:
