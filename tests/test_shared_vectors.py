@@ -70,3 +70,28 @@ def test_citations_are_grouped_where_steps_meet_symbols(spark):
     assert {(r.run_id, r.qualified_name, r.file_path, r.step, r.line_start) for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Exchange" not in plan.split("BroadcastHashJoin")[0]
+
+
+def test_touched_names_are_traced_once_for_equal_requests(spark, monkeypatch):
+    from checks.routing_checks import h9
+
+    symbols = spark.createDataFrame([("r", x, f"n.{x}") for x in "abc"], "repo_hash string, symbol_id string, qualified_name string")
+    flows = spark.createDataFrame([("r", "a>b", "a", "b", []), ("r", "a>c>b", "a", "b", ["c"])], "repo_hash string, flow_id string, source_symbol_id string, sink_symbol_id string, path array<string>")
+    flows = flows.selectExpr("*", "'call_chain' AS flow_kind", "CAST(NULL AS STRING) AS sensitivity")
+    asked = [(i, "r", "n.a" if i % 2 else "n.b", "forward" if i % 2 else "backward", 1 + i % 3) for i in range(60)]
+    asked += [(1, "r", "n.b", "backward", 3), (5, *asked[5][1:]), (None, "r", "n.a", "forward", 1), (None, "r", "n.a", "forward", 2)]
+    requests = spark.createDataFrame(asked, "query_id long, repo_hash string, symbol string, direction string, depth int")
+    seen, plain = [], lookups.trace_data_flow
+    monkeypatch.setattr(lookups, "trace_data_flow", lambda r, *a: seen.append(r.count()) or plain(r, *a))
+    got = h9(SimpleNamespace(requests=requests, symbols=symbols, flows=flows))
+    want = {}
+    for q, _, _, _, depth in asked:
+        for flow, names in (("a>b", "ab"), ("a>c>b", "abc")):
+            if len(names) - 2 <= max(0, depth - 1):
+                for pos, x in enumerate(names):
+                    want[q, f"n.{x}"] = min(want.get((q, f"n.{x}"), 999), len(flow) * 10 + pos)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.query_id, r.name): r.first_seen for r in rows} == want
+    # two symbols at three depths, query 1 with its two requests, query 5 with its repeated one, and those without id
+    assert seen == [6 + 2 + 2 + 2]
+    assert largest_output(got._jdf.queryExecution().executedPlan()) <= 3 * 64
