@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolens.functions import paths, text, vectors
+from repolens.session import cut_lineage
 
 from .graphs import connected_components
 from .ranked import top_rows
@@ -146,7 +147,7 @@ def pairwise_clusters(files: DataFrame, symbols: DataFrame, refs: DataFrame, inc
 
     `inclusive=False` keeps pairs exactly at the cut apart.
     """
-    features = file_features(files, symbols, refs)
+    features = cut_lineage(file_features(files, symbols, refs))  # read four times
     close = pair_distances(features, candidate_pairs(features))
     # A distance is a sum of decimals; compare at nine digits so 0.55 means 0.55.
     d = F.round("distance", 9)

@@ -1,4 +1,4 @@
-"""Layers of random graphs with cycles against plain peeling; each peeled node is followed once."""
+"""Graph loops compute their edges once and follow each peeled node once; layers of random graphs equal plain peeling."""
 
 import random
 
@@ -33,3 +33,13 @@ def test_layers_follow_each_link_once(spark, monkeypatch):
     late = {r: max([want[x] for x in want if x[0] == r]) + 1 for r in "ab"}
     assert {k: v for k, v in got.items() if k[1]} == {x: want.get(x, late[x[0]]) for x in nodes} and got["a", None] == late["a"]
     assert len(final) < len(nodes) and sum(seen) == len(final)
+
+
+def test_components_compute_their_edges_once(spark, monkeypatch):
+    e = spark.createDataFrame([("r", "a", "b"), ("r", "c", "b"), ("r", "d", "d"), ("q", "a", "d"), ("r", None, "a")], "repo_hash string, a string, b string")
+    n = spark.createDataFrame([(r, x) for r in "rq" for x in "abcd"], "repo_hash string, node string")
+    plans, plain = [], graphs.cut_lineage
+    monkeypatch.setattr(graphs, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    got = {(r.repo_hash, r.node): r.component for r in graphs.connected_components(n, e).collect()}
+    assert got == {("r", "a"): "a", ("r", "b"): "a", ("r", "c"): "a", ("r", "d"): "d", ("q", "a"): "a", ("q", "b"): "b", ("q", "c"): "c", ("q", "d"): "a"}
+    assert plans[0].count("LogicalRDD") == 1
